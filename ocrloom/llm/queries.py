@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import token_store
 
@@ -17,6 +18,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
