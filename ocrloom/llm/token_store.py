@@ -36,7 +36,7 @@ _GEAR = np.random.default_rng(20240229).integers(0, 2**63, 1 << 16, dtype=np.uin
 #: Latin letters that the tokenizer takes for letters and that stand for themselves when composed and lowered.
 _LATIN = "À-ÖØ-öø-įı-ɏ"
 #: Distinct parts of words of which a worker keeps the ids.
-MAX_PARTS = 1_500_000
+MAX_PARTS = 800_000
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def _encode(name: str, end_id: int):
         own, zstd = _encoders[name], zstandard.ZstdCompressor(level=1, write_content_size=True)
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in sliced(whole, "t", 32 << 20):
+            for batch in sliced(whole, "t", 8 << 20):
                 ids, offsets = own.texts(batch.column("t"), end_id)
                 ends = cuts(ids, offsets)
                 sizes, raw = np.diff(ends, prepend=0), ids.astype("<u4").tobytes()
