@@ -8,6 +8,7 @@ from .common import table
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import token_store
+from .toxicity import toxicity_scores
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts, op10_simhash)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts, op10_simhash, op9_toxicity)}
 
 ORACLES: dict[str, str] = {}
