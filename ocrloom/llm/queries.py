@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contaminated
+from .mixing import mix_sources
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import token_store
 from .toxicity import toxicity_scores
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
@@ -27,6 +33,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts, op10_simhash, op9_toxicity)}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2.0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op7_token_counts, op10_simhash, op9_toxicity, op4_mix_sources)}
 
 ORACLES: dict[str, str] = {}
