@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated
 from .mixing import mix_sources
+from .quality import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import token_store
@@ -33,10 +34,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op7_token_counts, op10_simhash, op9_toxicity, op4_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op7_token_counts, op10_simhash, op9_toxicity, op4_mix_sources)}
 
 ORACLES: dict[str, str] = {}
