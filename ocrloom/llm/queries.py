@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import contaminated
+from .html_text import html_texts
 from .mixing import mix_sources
 from .quality import quality_rules
+from .secrets import secret_spans
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import token_store
@@ -22,6 +24,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op6_html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
@@ -42,6 +52,6 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op7_token_counts, op10_simhash, op9_toxicity, op4_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op7_token_counts, op10_simhash, op8_secret_spans, op6_html_texts, op9_toxicity, op4_mix_sources)}
 
 ORACLES: dict[str, str] = {}
