@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .context_tree import lm_scores
 from .decontamination import contaminated
 from .html_text import html_texts
 from .mixing import mix_sources
@@ -24,6 +25,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_texts(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,6 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op7_token_counts, op10_simhash, op8_secret_spans, op6_html_texts, op9_toxicity, op4_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op5_lm_scores, op7_token_counts, op10_simhash, op8_secret_spans, op6_html_texts, op9_toxicity, op4_mix_sources)}
 
 ORACLES: dict[str, str] = {}
