@@ -20,7 +20,8 @@ from .common import sliced, split_words, strings
 #: Buckets of the multinomials, as a power of two: their number bounds the model.
 BUCKET_BITS = 16
 MAX_TRUSTED = 20_000
-SMOOTHING = 1.0
+#: Prior counts of a bucket in the corpus; the target has its share of them.
+SMOOTHING = 2.0
 THRESHOLD = -0.12
 REPEAT_WINDOW = 5
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,8 +117,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
     if not target.sum():  # no trusted documents: nothing tells the two apart
         return np.zeros(1 << BUCKET_BITS)
-    share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * len(x))
-    return np.log(share(target)) - np.log(share(raw))
+    # both get prior counts in the same proportion, so a bucket of which little is known says little at any size of the data
+    part = target.sum() / raw.sum()
+    return np.log(target / part + SMOOTHING) - np.log(raw + SMOOTHING)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,11 +5,12 @@ space and never joins over it; so a worker encodes distinct words only and gathe
 
 Files, below one folder:
 
-    chunks/     digest (SHA-256 of the ids as little-endian uint32), n, payload (the ids as zstd of little-endian
-                uint16 or uint32); each distinct chunk once, however many documents hold it
+    staged/     kind=chunk: digest (SHA-256 of the ids as little-endian uint32), n, payload (the ids as zstd of little-endian
+                uint16 or uint32); each distinct chunk once, however many documents hold it;
+                kind=recipe: the recipes as they were made, before they are put in order
     recipes/    part, doc_id, n_tokens, lengths (uint32 each), digests (32 bytes each), root (Merkle root of the
                 digests), in ascending doc_id order over the parts and within
-    manifest/   part, documents, tokens, root (Merkle root of the part's document roots in order)
+    manifest/   part, documents, tokens, root (SHA-256 over the part's document roots in order)
 
 Chunks end where a rolling hash of the last WINDOW ids is zero in its low bits, and with the document; so equal
 passages give equal chunks wherever they stand.
@@ -322,6 +323,10 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return recipes.join(F.broadcast(parts), "part").withColumn("start", start)
 
 
+def _chunks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(_STAGED.format(id=kind)).parquet(f"{path}/staged").where("kind = 'chunk'").select("digest", "n", "payload")
+
+
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a store, from its files: doc_id, start, n_tokens, ids_crc32, n_chunks, merkle_root.
 
@@ -329,7 +334,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     together from those of its chunks, so ids stay where they lie and only digests are joined.
     """
     kind = spark.read.parquet(f"{path}/recipes").schema["doc_id"].dataType.simpleString()
-    chunks = spark.read.parquet(f"{path}/staged").where("kind = 'chunk'").select("digest", "n", "payload").mapInArrow(_checked, "digest binary, n long, crc long")
+    chunks = _chunks(spark, path, kind).mapInArrow(_checked, "digest binary, n long, crc long")
     uses = _recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", "digests", "root").mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
     parts = uses.join(chunks, "digest", "left").mapInArrow(_shift, f"doc_id {kind}, start long, n_tokens long, root binary, crc long")
     return parts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.count(F.lit(1)).alias("n_chunks")).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", F.hex("root").alias("merkle_root"))
@@ -343,7 +348,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([x.tolist() for x in decoded(batch)], pa.list_(pa.int64()))], names=["digest", "own"])
 
-    chunks = spark.read.parquet(f"{path}/staged").where("kind = 'chunk'").select("digest", "n", "payload").mapInArrow(unpack, "digest binary, own array<long>")
+    chunks = _chunks(spark, path, kind).mapInArrow(unpack, "digest binary, own array<long>")
     uses = _recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", "digests", "root").mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
     parts = uses.join(chunks, "digest").groupBy("start", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "own"))).alias("parts"))
     return parts.select("doc_id", "start", F.flatten(F.transform("parts", lambda x: x["own"])).alias("ids"))
