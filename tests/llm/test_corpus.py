@@ -419,3 +419,15 @@ def test_pipeline_stages(spark):
     assert counts["near_copies"][1] < counts["near_copies"][0] and counts["token_ids"][0] == counts["token_ids"][1]
     found = simhash.simhash_components(spark.read.parquet(f"{DATA}/documents.parquet"))
     assert found.select("component_id").distinct().count() == simhash.drop_near_copies(spark.read.parquet(f"{DATA}/documents.parquet")).count()
+
+
+def test_secret_spans_equal_their_sql(spark):
+    import duckdb
+
+    from ocrloom.llm import queries
+
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    wanted = connection.sql(queries.ORACLES["op8_secret_spans"])
+    rows = queries.QUERIES["op8_secret_spans"](spark, DATA).select(*wanted.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(wanted.fetchall())
