@@ -217,8 +217,12 @@ def bn_folded_conv(spark: SparkSession, sf: str) -> DataFrame:
 # detections
 
 
-def _pixels(spark: SparkSession, sf: str) -> DataFrame:
-    return detections.active_pixels(vectors(spark, sf).select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("a").alias("values")), HEAT_THRESHOLD)
+def _heatmaps(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("a").alias("values"))
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return detections.labelled_pixels(_heatmaps(spark, sf), HEAT_THRESHOLD)
 
 
 _LABELS = f"{EMB}, {HEAT}, reach(image_id, x, y, l) as (select image_id, x, y, y * 8 + x from px union select p.image_id, p.x, p.y, r.l from reach r join px p on p.image_id = r.image_id and abs(p.x - r.x) <= 1 and abs(p.y - r.y) <= 1 where r.l < p.y * 8 + p.x), lab as (select image_id, x, y, min(l) as label from reach group by all), lp as (select lab.*, v from lab join px using (image_id, x, y))"
@@ -226,7 +230,14 @@ _LABELS = f"{EMB}, {HEAT}, reach(image_id, x, y, l) as (select image_id, x, y, y
 
 @query(f"with recursive {_LABELS} select image_id, x, y, label from lab")
 def components_label(spark: SparkSession, sf: str) -> DataFrame:
-    return detections.label_components(_pixels(spark, sf)).select("image_id", "x", "y", "label")
+    """By joins over runs of pixels."""
+    return detections.label_components(detections.active_pixels(_heatmaps(spark, sf), HEAT_THRESHOLD)).select("image_id", "x", "y", "label")
+
+
+@query(ORACLES["components_label"])
+def components_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, image by image."""
+    return _labelled(spark, sf).select("image_id", "x", "y", "label")
 
 
 _MOMENTS = "mo as (select image_id, label, count(*) as n, avg(v) as score, cast(sum(x) as bigint) as sx, cast(sum(y) as bigint) as sy, cast(sum(x * x) as bigint) as sxx, cast(sum(x * y) as bigint) as sxy, cast(sum(y * y) as bigint) as syy from lp group by all)"
@@ -234,7 +245,7 @@ _MOMENTS = "mo as (select image_id, label, count(*) as n, avg(v) as score, cast(
 
 @query(f"with recursive {_LABELS}, {_MOMENTS} select image_id, label, n, {r6('score')} as score, sx, sy, sxx, sxy, syy from mo")
 def component_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return detections.component_moments(detections.label_components(_pixels(spark, sf))).withColumn("score", rounded(F.col("score")))
+    return detections.component_moments(_labelled(spark, sf)).withColumn("score", rounded(F.col("score")))
 
 
 _BOX = """ax as (select *, sx / n + 0.5e0 as cx, sy / n + 0.5e0 as cy, 0.5e0 * atan2(cast(2 * (n * sxy - sx * sy) as double), cast((n * sxx - sx * sx) - (n * syy - sy * sy) as double)) as g from mo where n >= 3 and score >= 0.1),
@@ -248,14 +259,14 @@ _OPTIONS = detections.DetectionOptions(binary_threshold=HEAT_THRESHOLD, box_thre
 
 @query(f"with recursive {_LABELS}, {_MOMENTS}, {_BOX} select image_id, label, n, {r6('score')} as score, k, {r6('x')} as x, {r6('y')} as y from box")
 def rotated_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    found = detections.rotated_boxes(detections.label_components(_pixels(spark, sf)), _OPTIONS)
+    found = detections.rotated_boxes(_labelled(spark, sf), _OPTIONS)
     return found.select("image_id", "label", "n", rounded(F.col("score")).alias("score"), F.posexplode("polygon").alias("k", "p")).select("image_id", "label", "n", "score", "k", rounded(F.col("p")[0]).alias("x"), rounded(F.col("p")[1]).alias("y"))
 
 
 @query(f"with recursive {_LABELS}, {_MOMENTS}, {_BOX}, src as (select image_id, label, score, k, least(greatest(x * 640 / 8, 0e0), 640e0) as x, least(greatest(y * 480 / 8, 0e0), 480e0) as y from box), ctr as (select image_id, label, score, round(avg(x), 9) as mx, round(avg(y), 9) as my from src group by all), best as (select *, row_number() over (partition by image_id order by score desc, my, mx, label) as r from ctr) select image_id, label, {r6('score')} as score, {r6('mx')} as center_x, {r6('my')} as center_y from best where r <= 2")
 def extract_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Heatmaps to the two best boxes of each image, in source coordinates of 640 by 480."""
-    boxes_ = detections.rotated_boxes(detections.label_components(_pixels(spark, sf)), _OPTIONS)
+    boxes_ = detections.rotated_boxes(_labelled(spark, sf), _OPTIONS)
     mapped = detections.mapped_to_source(boxes_, F.lit(640), F.lit(480), F.lit(8), F.lit(8))
     found = detections.best_in_reading_order(mapped, 2)
     return found.select("image_id", "label", rounded(F.col("score")).alias("score"), rounded(F.col("center_x")).alias("center_x"), rounded(F.col("center_y")).alias("center_y"))
