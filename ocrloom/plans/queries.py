@@ -269,7 +269,9 @@ def extract_detections(spark: SparkSession, sf: str) -> DataFrame:
     boxes_ = detections.rotated_boxes(_labelled(spark, sf), _OPTIONS)
     mapped = detections.mapped_to_source(boxes_, F.lit(640), F.lit(480), F.lit(8), F.lit(8))
     found = detections.best_in_reading_order(mapped, 2)
-    return found.select("image_id", "label", rounded(F.col("score")).alias("score"), rounded(F.col("center_x")).alias("center_x"), rounded(F.col("center_y")).alias("center_y"))
+    # centres are quotients: rounded to nine digits first, as in the SQL, they round alike at a half of the sixth
+    x, y = (rounded(F.round(c, 9)) for c in ("center_x", "center_y"))
+    return found.select("image_id", "label", rounded(F.col("score")).alias("score"), x.alias("center_x"), y.alias("center_y"))
 
 
 @query(f"with {BOXES}, c as (select *, ((((x0 + (x0 + w)) + (x0 + w)) + x0) / 4) as mx, ((((y0 + y0) + (y0 + h)) + (y0 + h)) / 4) as my from boxes), b as (select *, row_number() over (partition by image_id order by score desc, my, mx, det_idx) as r from c) select image_id, det_idx as found, row_number() over (partition by image_id order by my, mx, score, det_idx) as det_idx, {r6('mx')} as center_x, {r6('my')} as center_y, {r6('score')} as score from b where r <= 50")
