@@ -109,6 +109,25 @@ def test_equal_passages_are_stored_once(spark, tmp_path):
     assert stored < 0.6 * whole
 
 
+def test_pieces_of_a_batch_hold_its_texts():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from ocrloom.llm.common import sliced, split_words, strings
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Ánd", "THE", "ñu", "Ω", "日本"]) * rng.randrange(1, 9) for _ in range(rng.randrange(400))) for _ in range(300)]
+    batch, found = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), []
+    for lower in (pc.ascii_lower, pc.utf8_lower):
+        found = []
+        for piece in sliced(batch, "t", 20_000):
+            codes, offsets, words = split_words(lower(strings(piece.column("t"))))
+            flat = words.to_pylist()
+            found += [[flat[c] for c in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        low = str.lower if lower is pc.utf8_lower else lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+        assert found == [low(x).split() for x in texts]
+
+
 def test_word_encoder_on_odd_words():
     import public_tokenizers
     import pyarrow as pa
