@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare word n-grams of the test items seed alignments that score copies, edited ones too.
+"""Benchmark decontamination: word n-grams of the test items seed alignments that score copies, edited ones too.
 
-1. Words are runs of letters and digits in lower case. All n-grams of the items are counted over the whole corpus, as
-   the number of documents that hold them.
-2. Of each STRETCH neighbouring n-grams of an item the rarest is a seed. Rare is meant within the item: however often a
-   passage has been copied, its item keeps seeds all along.
-3. Documents that hold seeds are aligned (Smith-Waterman over words) with the item around the places the seeds point at.
+1. Words are runs of letters and digits in lower case. Every n-gram of an item is a seed: none is left out for its count,
+   because the n-grams that an edit made are the rarest, and those of a passage copied often are not rare.
+2. Places where a document's seeds point at nearly the same stretch share a window. A window that holds too few of the
+   item's words to reach the threshold, whatever their order, is passed over: no alignment scores more than its words.
+3. The others are aligned with the item (Smith-Waterman over words).
 
 Items come in blocks of at most BLOCK_WORDS words, a bound on what a task holds of them; each block meets all documents
-in a pass of its own. Documents don't move: both passes are narrow, and only counts and matches are shuffled.
+in a pass of its own. Documents don't move: the pass is narrow, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import sliced, split_words, strings
 
-NGRAM, STRETCH = 3, 3
+NGRAM = 3
 #: Words of the items of a block: their n-grams, as numbers, take some tens of MB of a task.
 BLOCK_WORDS = 1 << 20
+#: Places and words of windows that a task looks at at once, or those of one document.
+AT_ONCE = 1 << 19
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's full score from which an alignment counts as a copy.
 THRESHOLD = 0.5
@@ -61,8 +63,22 @@ class Items:
             out = (out << 20 | words[k : len(words) - n + 1 + k]) + (1 << 20 * (k + 1) if n < NGRAM else 0) * (k == n - 1)
         return out
 
-    def places(self, batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where the texts of a batch hold wanted n-grams: document, place, index of the n-gram; the words, their offsets."""
+    def uses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items and places of the known n-grams, those of the first one first, and where those of each begin."""
+        gram = np.searchsorted(self.known, np.concatenate([*self.per_item, np.zeros(0, np.int64)]))
+        sizes = [len(x) for x in self.per_item]
+        item, place = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])
+        order = np.argsort(gram, kind="stable")
+        return item[order], place[order], np.searchsorted(gram[order], np.arange(len(self.known) + 1))
+
+    def bags(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the items as numbers of item and word, sorted, and how often the item holds each."""
+        item = np.repeat(np.arange(len(self.items)), [len(x) for x in self.items])
+        return np.unique(item * len(self.words) + np.concatenate([*self.items, np.zeros(0, np.int64)]), return_counts=True)
+
+    def places(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts of a batch hold known n-grams: document, place, index of the n-gram; the words, their offsets."""
+        wanted = self.known
         codes, offsets, words = plain_words(batch.column("t"))
         own = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = own[codes] if len(codes) else np.zeros(0, np.int64)
@@ -88,9 +104,10 @@ class Items:
         return doc[at], at, index, flat, offsets
 
 
-def seeds_of(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of the rarest n-gram of each STRETCH in a row; of equally rare ones the first."""
-    return np.array([k + int(np.argmin(counts[k : k + STRETCH])) for k in range(0, len(grams), STRETCH)], np.int64)
+def spread(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches with these beginnings and sizes, one behind the other: each element's stretch, and its number."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of]
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -123,51 +140,60 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * m), *span
 
 
-def _count(items: Items):
+def _match(items: Items, threshold: float, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.known), np.int64)
-        for whole in batches:
-            for batch in sliced(whole, "t"):
-                doc, _, index, _, _ = items.places(batch, items.known)
-                pairs = np.unique(doc * len(items.known) + index)
-                counts += np.bincount(pairs % max(1, len(items.known)), minlength=len(items.known))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
-
-    return run
+        of_item, of_place, begin = items.uses()
+        bag, held = items.bags()
+        sizes = np.array([len(x) for x in items.items], np.int64)
+        slack = sizes // 2 + 2
+
+        def matches(doc: np.ndarray, at: np.ndarray, index: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+            hit, use = spread(begin[index], begin[index + 1] - begin[index])
+            d, k, start = doc[hit], of_item[use], at[hit] - of_place[use]
+            order = np.lexsort((start, k, d))
+            d, k, start = d[order], k[order], start[order]
+            pair = np.ones(len(d), bool)
+            pair[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+            n_seeds = np.diff(np.append(np.flatnonzero(pair), len(d)))
+            # places that point at nearly the same stretch share a window
+            new = pair.copy()
+            new[1:] |= start[1:] - start[:-1] > slack[k[1:]]
+            first = np.flatnonzero(new)
+            d, k, left, right = d[first], k[first], start[first], start[np.append(first[1:], len(start)) - 1]
+            number = (np.cumsum(pair) - 1)[first]
+            a, b = np.maximum(offsets[d], left - slack[k]), np.minimum(offsets[d + 1], right + sizes[k] + slack[k])
+            ends, done = np.cumsum(b - a), 0
+            best: dict[int, tuple] = {}
+            while done < len(d):
+                stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + AT_ONCE, side="right")))
+                window, word = spread(a[done:stop], b[done:stop] - a[done:stop])
+                window, word = window[flat[word] >= 0], word[flat[word] >= 0]
+                key = k[done + window] * len(items.words) + flat[word]
+                place = np.minimum(np.searchsorted(bag, key), len(bag) - 1)
+                shared, times = np.unique((window * len(bag) + place)[bag[place] == key], return_counts=True)
+                most = np.bincount(shared // len(bag), np.minimum(times, held[shared % len(bag)]), stop - done)
+                for i in done + np.flatnonzero(most / sizes[k[done:stop]] >= threshold):
+                    got, x, y = align(items.items[k[i]], flat[a[i] : b[i]])
+                    if got >= threshold and got > best.get(number[i], (0,))[0]:
+                        gone = int(a[i] - offsets[d[i]])
+                        best[number[i]] = (got, int(d[i]), items.ids[k[i]], int(n_seeds[number[i]]), gone + x, gone + y)
+                done = stop
+            for got, *rest in best.values():
+                yield rest[0], rest[1], got, *rest[2:]
 
-
-def _match(items: Items, counts: np.ndarray, threshold: float, id_col: str):
-    chosen = [(k, int(p), int(g[p])) for k, g in enumerate(items.per_item) if len(g) for p in seeds_of(g, counts[np.searchsorted(items.known, g)])]
-    wanted = np.unique(np.array([g for _, _, g in chosen], np.int64))
-    of: dict[int, list[tuple[int, int]]] = {}
-    for k, p, g in chosen:
-        of.setdefault(int(np.searchsorted(wanted, g)), []).append((k, p))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "t"):
-                doc, at, index, flat, offsets = items.places(batch, wanted)
-                starts: dict[tuple[int, int], list[int]] = {}
-                for d, a, g in zip(doc.tolist(), at.tolist(), index.tolist(), strict=True):
-                    for k, p in of[g]:
-                        starts.setdefault((d, k), []).append(a - p)
-                rows = []
-                for (d, k), where in starts.items():
-                    item = items.items[k]
-                    best, span, slack = 0.0, (0, 0), len(item) // 2 + 2
-                    where.sort()
-                    left = where[0]
-                    for i, x in enumerate(where):  # places that point at nearly the same stretch share a window
-                        if i + 1 == len(where) or where[i + 1] - x > slack:
-                            a = max(int(offsets[d]), left - slack)
-                            window = flat[a : min(int(offsets[d + 1]), x + len(item) + slack)]
-                            got, b, e = align(item, window)
-                            if got > best:
-                                best, span = got, (a + b - int(offsets[d]), a + e - int(offsets[d]))
-                            left = where[i + 1] if i + 1 < len(where) else left
-                    if best >= threshold:
-                        rows.append((d, items.ids[k], best, len(where), *span))
+                doc, at, index, flat, offsets = items.places(batch)
+                order = np.argsort(doc, kind="stable")
+                doc, at, index = doc[order], at[order], index[order]
+                ends = np.cumsum(begin[index + 1] - begin[index])
+                rows, done = [], 0
+                while done < len(doc):  # whole documents, as many as AT_ONCE holds
+                    stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + AT_ONCE, side="right"))
+                    if stop < len(doc):
+                        stop = int(np.searchsorted(doc, doc[stop])) if doc[stop] != doc[done] else int(np.searchsorted(doc, doc[stop], side="right"))
+                    rows += matches(doc[done:stop], at[done:stop], index[done:stop], flat, offsets)
+                    done = stop
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("i").take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()), (5, pa.int64())))],
                     names=[id_col, "item_id", "score", "n_seeds", "first_word", "end_word"],
@@ -178,11 +204,11 @@ def _match(items: Items, counts: np.ndarray, threshold: float, id_col: str):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per pair of a document and a test item that it holds a copy of: id, item_id, score (1: word for word),
-    n_seeds, and the document's words [first_word, end_word) that align with it.
+    n_seeds (places where it holds an n-gram of the item), and the document's words [first_word, end_word) that align with it.
 
     Null and wordless texts on either side match nothing; an item below NGRAM words is one seed by itself. Repeated rows
     of docs give a row each; items with the same id are items of their own. Without items, or without documents, there
-    are no rows. A document of any length is searched whole. Columns besides ids and texts are not looked at.
+    are no rows. A copy without any NGRAM words in a row left as they were has no seed. A document of any length is searched whole. Columns besides ids and texts are not looked at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -191,10 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     def search(rows: list) -> DataFrame:
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        counts = np.zeros(len(items.known), np.int64)
-        for r in source.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r["gram"]] = r["n"]
-        return source.mapInArrow(_match(items, counts, threshold, id_col), schema)
+        return source.mapInArrow(_match(items, threshold, id_col), schema)
 
     for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = row["text"].count(" ") + 1

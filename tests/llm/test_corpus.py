@@ -66,6 +66,28 @@ def test_decontamination_finds_copies_and_edited_copies(spark):
     assert decontamination.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_thoroughly_edited_copies(spark):
+    """Every m-th word changed, in every phase, without and with a copy word for word beside it; all windows that brute force would pass."""
+    rng = random.Random(12)
+    edits = [(m, phase, beside) for m in (4, 5, 6) for phase in range(m) for beside in (False, True)]
+    items = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(40)) for _ in edits]
+    texts, wanted = [], {}
+    for x, (m, phase, _) in zip(items, edits, strict=True):
+        words = [f"new{p}" if p % m == phase else w for p, w in enumerate(x.split())]
+        texts.append(f"front {' '.join(words)} back")
+    texts += [x for x, (_, _, beside) in zip(items, edits, strict=True) if beside] + ["nothing of any", " ".join(items[0].split()[:5])]
+    code = {w: n for n, w in enumerate(sorted({w for x in texts + items for w in x.split()}))}
+    number = lambda x: np.array([code[w] for w in x.split()])
+    for i, x in enumerate(texts):
+        for k, y in enumerate(items):
+            if (got := decontamination.align(number(y), number(x))[0]) >= decontamination.THRESHOLD:
+                wanted[i, k] = pytest.approx(got)
+    assert {(k, k) for k in range(len(items))} <= set(wanted)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(table(spark, texts), bench).collect()}
+    assert found == wanted
+
+
 def test_alignment_is_smith_watermans():
     rng = np.random.default_rng(2)
     for _ in range(40):
