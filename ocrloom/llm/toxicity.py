@@ -2,8 +2,9 @@
 
 Fit, on a bounded sample of labelled rows (MAX_TOXIC, MAX_ORDINARY documents, MAX_BYTES of each):
 
-1. Character runs that toxic documents hold far more often than ordinary ones are the toxic text; a zstandard dictionary
-   is trained on them, and another on windows of ordinary documents.
+1. Character runs that occur far more often in a toxic document than in an ordinary one are the toxic text, those that
+   begin a word apart from others; a zstandard dictionary is trained on the parts of words that they cover, and another
+   on windows of ordinary documents.
 2. Both compressors begin with the ordinary dictionary; the toxic one has the toxic dictionary behind it, the other as
    many empty bytes. So ordinary text compresses alike, and a window's saving is what the toxic dictionary gives.
 3. The savings of a document's windows, counted at several thresholds, are calibrated to a probability.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,42 +27,69 @@ from pyspark.sql import functions as F
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2_000, 9_000, 100_000
 #: Of these, so many calibrate the scores.
 CALIBRATE_TOXIC, CALIBRATE_ORDINARY = 1_200, 3_000
-#: Characters of a run; how much more often toxic documents hold it, and how surely.
-RUN, TIMES, DEVIATIONS = 5, 40, 5
+#: Characters of a run; how much more often it occurs in toxic documents, how surely, and how many of these hold it.
+RUN, TIMES, DEVIATIONS, LEAST = 5, 8, 8, 3
 WINDOW = 16
 LEVEL, MIN_MATCH = 12, 3
 THRESHOLDS, SHARES = (1, 2, 3, 4, 5, 6, 8), (2, 4, 6)
 
 
 def windows(text: str, n: int = WINDOW) -> list[bytes]:
+    """The words of a text, n to a window, each behind a space: so a dictionary can tell how words begin."""
     words = text.lower().encode().split()
-    return [b" ".join(words[i : i + n]) for i in range(0, max(1, len(words)), n)]
+    return [b"".join(b" " + w for w in words[i : i + n]) for i in range(0, max(1, len(words)), n)]
 
 
-def runs(text: str) -> set[str]:
-    return {w[i : i + RUN] for w in text.lower().split() for i in range(max(1, len(w) - RUN + 1))}
+def word_runs(word: str) -> list[str]:
+    """Runs of RUN characters; the one that begins the word has a space before it."""
+    return [" " + word[:RUN], *(word[i : i + RUN] for i in range(1, len(word) - RUN + 1))]
+
+
+def runs(text: str) -> Counter:
+    return Counter(r for w in text.lower().split() for r in word_runs(w))
 
 
 def toxic_runs(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Runs in TIMES the share of toxic documents, and by DEVIATIONS standard deviations."""
-    t, o = Counter(r for x in toxic for r in runs(x)), Counter(r for x in ordinary for r in runs(x))
+    """Runs that occur TIMES as often in a toxic document as in an ordinary one, and more often by DEVIATIONS standard deviations.
+
+    A document's occurrences count by log(1 + occurrences), so a word of toxic texts that ordinary ones hold now and then
+    is told by how often it comes, and no single document decides.
+    """
+    t: dict[str, list[float]] = {}
+    for x in toxic:
+        for r, k in runs(x).items():
+            own = t.setdefault(r, [0.0, 0.0, 0.0])
+            own[0] += 1
+            own[1] += (v := log1p(k))
+            own[2] += v * v
+    t = {r: own for r, own in t.items() if own[0] >= min(LEAST, len(toxic))}
+    o = {r: [0.0, 0.0] for r in t}
+    for x in ordinary:
+        for r, k in runs(x).items():
+            if r in o:
+                o[r][0] += (v := log1p(k))
+                o[r][1] += v * v
     n, m = len(toxic), len(ordinary)
 
     def clear(r: str) -> bool:
-        p = (t[r] + o[r]) / (n + m)
-        z = (t[r] / n - o[r] / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-        return z >= DEVIATIONS and t[r] / n >= TIMES * (o[r] + 0.5) / m
+        a, b = t[r][1] / n, o[r][0] / m
+        both = (t[r][1] + o[r][0]) / (n + m)
+        spread = (t[r][2] + o[r][1]) / (n + m) - both**2
+        return a - b >= DEVIATIONS * sqrt(max(spread, 0.0) * (1 / n + 1 / m) + 1e-12) and a >= TIMES * (b + 0.5 / m)
 
     return {r for r in t if clear(r)}
 
 
 def segments(word: str, chosen: set[str]) -> list[str]:
-    """The parts of a word that chosen runs cover."""
-    on = bytearray(len(word))
-    for i in range(max(1, len(word) - RUN + 1)):
-        if (r := word[i : i + RUN]) in chosen:
+    """The parts of a word that chosen runs cover; the one that begins it has a space before it."""
+    whole = " " + word
+    on = bytearray(len(whole))
+    for i, r in enumerate(word_runs(word)):
+        if r in chosen:
+            i += i > 0
             on[i : i + len(r)] = b"\1" * len(r)
-    return "".join(c if x else " " for c, x in zip(word, on, strict=True)).split()
+    parts = "".join(c if x else "\n" for c, x in zip(whole, on, strict=True)).split("\n")
+    return [p for p in parts if p]
 
 
 def trained(size: int, samples: list[bytes], **how: int) -> bytes:
@@ -93,8 +122,8 @@ class Classifier:
         chosen = toxic_runs(toxic, ordinary)
         found = [s for x in toxic for w in x.lower().split() for s in segments(w, chosen)]
         rare_first = sorted(Counter(found).items(), key=lambda x: (x[1], x[0]))
-        once = [" ".join(s for s, _ in rare_first[i : i + 6]).encode() for i in range(0, len(rare_first), 6)]
-        own = trained(2048, [" ".join(found[i : i + 8]).encode() for i in range(0, len(found), 8)] + once * 3, k=12, d=6)
+        once = ["".join(s for s, _ in rare_first[i : i + 6]).encode() for i in range(0, len(rare_first), 6)]
+        own = trained(2048, ["".join(found[i : i + 8]).encode() for i in range(0, len(found), 8)] + once * 3, k=12, d=6)
         base = trained(4096, [w for x in ordinary for w in windows(x, 12) if w][:50_000])
         self.plain, self.toxic = base + bytes(len(own)), base + own
         texts = toxic[:CALIBRATE_TOXIC] + ordinary[:CALIBRATE_ORDINARY]

@@ -391,6 +391,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity_scores(docs.where("false"), labels).count() == 0
 
 
+def test_toxic_words_that_ordinary_texts_hold_now_and_then():
+    rng = random.Random(7)
+    parts = ["ver", "keit", "chlich", "ung", "heit", "schö", "ende", "stach", "ge", "ein", "be", "tz"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+
+    def text(n):
+        x = [word() for _ in range(200)]
+        for _ in range(n):
+            x.insert(rng.randrange(len(x)), "wusnol" + rng.choice(["", word()]))
+        return " ".join(x)
+
+    toxic = [text(rng.randrange(6, 12)) for _ in range(60)]
+    ordinary = [text(int(k % 8 == 0)) for k in range(400)]  # one in eight holds one
+    chosen = toxicity.toxic_runs(toxic, ordinary)
+    assert any("wusno" in r for r in chosen) and not any(r.strip() in word for r in chosen for word in parts)
+    model = toxicity.Classifier(toxic, ordinary)
+    assert sum(model.score(text(8)) >= 0.5 for _ in range(40)) >= 36
+    assert sum(model.score(text(int(k % 8 == 0))) >= 0.5 for k in range(80)) <= 4
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
