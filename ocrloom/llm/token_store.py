@@ -10,7 +10,7 @@ Files, below one folder:
                 kind=recipe: the recipes as they were made, before they are put in order
     recipes/    part, doc_id, n_tokens, lengths (uint32 each), digests (32 bytes each), root (Merkle root of the
                 digests), in ascending doc_id order over the parts and within
-    manifest/   part, documents, tokens, root (SHA-256 over the part's document roots in order)
+    manifest/   part, documents, tokens, root (Merkle root over the part's documents in order: hashes of root and doc_id)
 
 Chunks end where a rolling hash of the last WINDOW ids is zero in its low bits, and with the document; so equal
 passages give equal chunks wherever they stand.
@@ -28,16 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions, new_path, sliced, split_words
+from .common import n_partitions, new_path, sliced, split_words, trimmed
 
 WINDOW = 8
 #: Bits of the rolling hash that are zero at a cut: chunks of about 2**9 ids.
 CUT_BITS = 9
 _GEAR = np.random.default_rng(20240229).integers(0, 2**63, 1 << 16, dtype=np.uint64)
-#: Latin letters that the tokenizer takes for letters and that stand for themselves when composed and lowered.
+#: Latin letters that the tokenizer takes for letters and that stand for themselves when composed. A word goes by its
+#: parts only if it is of these both as it stands and in lower case.
 _LATIN = "À-ÖØ-öø-įı-ɏ"
-#: Distinct parts of words of which a worker keeps the ids.
-MAX_PARTS = 800_000
+#: Distinct parts of words of which a task keeps the ids, and bytes of text that it encodes at once.
+MAX_PARTS, SLICE = 300_000, 2 << 20
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -63,14 +64,18 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.parts_only = Tokenizer.from_str(self.tokenizer.to_str())
-        self.parts_only.normalizer = None
-        self.parts_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Normalizer and cutter of whole words, and of parts, which need neither lower case nor a cut.
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.parts = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.forget()
 
+    def encoded(self, lines: list[str], how: tuple) -> list[np.ndarray]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = how
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.keys, self.flat, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -82,7 +87,7 @@ class WordEncoder:
         words, ids = new.to_pylist(), []
         for k in range(0, len(words), 50_000):
             lines = [" ".join(words[i : i + 200]) for i in range(k, min(k + 50_000, len(words)), 200)]
-            ids += [np.array(e.ids, np.uint32) for e in self.parts_only.encode_batch_fast(lines, add_special_tokens=False)]
+            ids += self.encoded(lines, self.parts)
         if ids:
             flat = np.concatenate(ids)
             ends = np.flatnonzero(self.ends[flat]) + 1
@@ -95,8 +100,9 @@ class WordEncoder:
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and their number for each word."""
-        plain = pc.and_(pc.match_substring_regex(words, f"^[!-&(-~{_LATIN}]+$"), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
-        cut = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), f"([a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+)", "\\1 ")
+        low, signs = pc.utf8_lower(words), f"^[!-&(-~{_LATIN}]+$"
+        plain = pc.and_(pc.and_(pc.match_substring_regex(words, signs), pc.match_substring_regex(low, signs)), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(low.filter(pa.array(plain)), f"([a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+)", "\\1 ")
         lists = pc.split_pattern(pc.ascii_rtrim(cut, " "), " ")
         parts = lists.flatten().dictionary_encode()
         known = self.learn(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)] if len(parts) else np.zeros(0, np.int64)
@@ -106,7 +112,7 @@ class WordEncoder:
         counts, odd = np.zeros(len(words), np.int64), np.flatnonzero(~plain)
         counts[plain] = np.diff(edges)
         if len(odd):
-            own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            own = self.encoded(words.take(pa.array(odd)).to_pylist(), self.whole)
             counts[odd] = [len(x) for x in own]
             whole = np.zeros(int(counts.sum()), np.uint32)
             starts = np.cumsum(counts) - counts
@@ -148,21 +154,20 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
 _STAGED = "kind string, route long, doc_id {id}, digest binary, n long, payload binary, lengths binary, root binary"
+#: Digests that a task remembers, so as not to send copies that lie near each other; the shuffle drops the others.
+MAX_SEEN = 100_000
 
 
 def _encode(name: str, end_id: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        if name not in _encoders:
-            _encoders[name] = WordEncoder(name)
-        own, zstd = _encoders[name], zstandard.ZstdCompressor(level=1, write_content_size=True)
+        own, zstd = WordEncoder(name), zstandard.ZstdCompressor(level=1, write_content_size=True)
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in sliced(whole, "t", 8 << 20):
+            for batch in sliced(whole, "t", SLICE):
                 ids, offsets = own.texts(batch.column("t"), end_id)
                 ends = cuts(ids, offsets)
                 sizes, raw = np.diff(ends, prepend=0), ids.astype("<u4").tobytes()
@@ -179,9 +184,10 @@ def _encode(name: str, end_id: int):
                 first = np.searchsorted(ends, offsets, side="right")  # chunks of a text: those that end in it
                 lengths = sizes.astype("<u4")
                 lists = [digests[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                names = batch.column("i")
-                yield _rows("recipe", [int(zlib.crc32(str(x).encode())) for x in names.to_pylist()], names, [b"".join(x) for x in lists], np.diff(offsets).tolist(), None, [lengths[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], [merkle_root(x) for x in lists], names.type)
-                if len(seen) > 1_000_000:  # a later copy of a chunk is dropped behind the shuffle
+                names, roots = batch.column("i"), [merkle_root(x) for x in lists]
+                # copies of a text go different ways: the row's number in the slice is part of the route
+                yield _rows("recipe", [int.from_bytes(x[:8], "little", signed=True) ^ k for k, x in enumerate(roots)], names, [b"".join(x) for x in lists], np.diff(offsets).tolist(), None, [lengths[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], roots, names.type)
+                if len(seen) > MAX_SEEN:
                     seen.clear()
 
     return run
@@ -198,17 +204,66 @@ def _rows(kind, route, ids, digests, n, payloads, lengths, roots, id_type) -> pa
     )
 
 
+@trimmed
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal chunks, which the shuffle has brought together, the first stays."""
-    seen: set[bytes] = set()
+    """Of equal chunks, which the rows' order has brought side by side, the first stays."""
+    last = None
     for batch in batches:
-        kinds, digests = batch.column("kind").to_pylist(), batch.column("digest").to_pylist()
         keep = []
-        for kind, digest in zip(kinds, digests, strict=True):
-            keep.append(kind == "recipe" or digest not in seen)
-            if kind == "chunk":
-                seen.add(digest)
-        yield batch.filter(pa.array(keep))
+        for kind, digest in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+            keep.append(kind == "recipe" or digest != last)
+            last = digest if kind == "chunk" else None
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+class GrowingRoot:
+    """merkle_root() of leaves that come one by one, in memory of the tree's height: each entry is the root of a full tree."""
+
+    def __init__(self) -> None:
+        self.full: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.full and self.full[-1][0] == height:
+            leaf = hashlib.sha256(self.full.pop()[1] + leaf).digest()
+            height += 1
+        self.full.append((height, leaf))
+
+    def root(self) -> bytes:
+        if not self.full:
+            return merkle_root([])
+        root = self.full[-1][1]
+        for _, left in reversed(self.full[:-1]):
+            root = hashlib.sha256(left + root).digest()
+        return root
+
+
+def document_leaf(root: bytes, doc_id: object) -> bytes:
+    return hashlib.sha256(root + str(doc_id).encode()).digest()
+
+
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part and within: each part's documents, tokens and Merkle root."""
+    part, own, documents, tokens = None, GrowingRoot(), 0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64()), pa.array([own.root()], pa.binary())], names=["part", "documents", "tokens", "root"])
+
+    for batch in batches:
+        for p, i, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "root")), strict=True):
+            if p != part:
+                if part is not None:
+                    yield row()
+                part, own, documents, tokens = p, GrowingRoot(), 0, 0
+            own.add(document_leaf(root, i))
+            documents, tokens = documents + 1, tokens + n
+    if part is not None:
+        yield row()
+
+
+def _in_order(recipes: DataFrame, spark: SparkSession) -> DataFrame:
+    """Recipes with each part's documents together, in order."""
+    return recipes.repartition(n_partitions(spark), "part").sortWithinPartitions("part", "doc_id", "root", "lengths")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -222,17 +277,21 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     staged = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_encode(tokenizer, end_id), _STAGED.format(id=kind))
     # one shuffle of compressed chunks, by digest: copies meet, and the rest spreads evenly
-    (staged.repartition(n_partitions(spark), "route").mapInArrow(_unique, staged.schema)
+    (staged.repartition(n_partitions(spark), "route").sortWithinPartitions("kind", "digest").mapInArrow(_unique, staged.schema)
      .write.partitionBy("kind").option("compression", "none").parquet(f"{path}/staged"))
     rows = spark.read.schema(staged.schema).parquet(f"{path}/staged")
     recipes = rows.where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "lengths", F.col("digest").alias("digests"), "root")
+    # the root is that of the contents, so it parts rows of one id over the ranges too
     (recipes.repartitionByRange(n_partitions(spark), "doc_id", "root").sortWithinPartitions("doc_id", "root")
      .withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/recipes"))
-    ordered = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "root")
-    (ordered.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-     .write.parquet(f"{path}/manifest"))
+    ordered = _in_order(spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "root", "lengths"), spark)
+    ordered.select("part", "doc_id", "n_tokens", "root").mapInArrow(_part_roots, _MANIFEST).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "part int, documents long, tokens long, root binary"
 
 
+@trimmed
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads payloads back: each has to give the ids that its digest names."""
     for batch in batches:
@@ -254,6 +313,7 @@ def decoded(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
+@trimmed
 def _read_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk of a document: its digest, and how many bytes of ids lie behind it."""
     for batch in batches:
@@ -302,6 +362,7 @@ def shifted_crc(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+@trimmed
 def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.column("crc").null_count:
@@ -312,15 +373,40 @@ def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), batch.column("root"), pa.array(crc)], names=["doc_id", "start", "n_tokens", "root", "crc"])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's recipes in order: where each document starts. A part whose count, tokens or root isn't the manifest's is an error."""
+    part, own, documents, tokens, start, wanted = None, GrowingRoot(), 0, 0, 0, None
+
+    def check() -> None:
+        if part is not None and (documents, tokens, own.root()) != wanted:
+            raise ValueError(f"part {part} of the recipes isn't the one that its manifest names")
+
+    for batch in batches:
+        starts = []
+        for p, i, n, root, *given, before in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "root", "m_documents", "m_tokens", "m_root", "before")), strict=True):
+            if p != part:
+                check()
+                if before is None:
+                    raise ValueError(f"no manifest names part {p} of the recipes")
+                part, own, documents, tokens, start, wanted = p, GrowingRoot(), 0, 0, before, tuple(given)
+            starts.append(start)
+            own.add(document_leaf(root, i))
+            documents, tokens, start = documents + 1, tokens + n, start + n
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts, pa.int64()), *(batch.column(c) for c in ("n_tokens", "lengths", "digests", "root"))], names=["doc_id", "start", "n_tokens", "lengths", "digests", "root"])
+    check()
+
+
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with the place of each document in the whole stream, from sums of parts and within parts."""
+    """Recipes with the place of each document in the whole stream, each part held against its manifest."""
     recipes = spark.read.parquet(f"{path}/recipes")
+    kind = recipes.schema["doc_id"].dataType.simpleString()
     # a row for each part, as many as partitions, not as documents
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = spark.read.parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return recipes.join(F.broadcast(parts), "part").withColumn("start", start)
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", F.col("documents").alias("m_documents"), F.col("tokens").alias("m_tokens"), F.col("root").alias("m_root"), before.alias("before")))
+    missing = parts.join(recipes.groupBy("part").count(), "part", "left_anti").where("m_documents > 0")
+    if not missing.isEmpty():
+        raise ValueError("a part that the manifest names has no recipes")
+    return _in_order(recipes, spark).join(parts, "part", "left").mapInArrow(_placed, f"doc_id {kind}, start long, n_tokens long, lengths binary, digests binary, root binary")
 
 
 def _chunks(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -330,12 +416,13 @@ def _chunks(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a store, from its files: doc_id, start, n_tokens, ids_crc32, n_chunks, merkle_root.
 
-    Every payload is read and held against its digest, every recipe against its root. The CRC of a document is put
-    together from those of its chunks, so ids stay where they lie and only digests are joined.
+    Every payload is read and held against its digest, every recipe against its root, every part's count, tokens and root
+    against the manifest; what doesn't fit is an error. The CRC of a document is put together from those of its chunks, so
+    ids stay where they lie and only digests are joined.
     """
     kind = spark.read.parquet(f"{path}/recipes").schema["doc_id"].dataType.simpleString()
     chunks = _chunks(spark, path, kind).mapInArrow(_checked, "digest binary, n long, crc long")
-    uses = _recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", "digests", "root").mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
+    uses = _recipes(spark, path).mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
     parts = uses.join(chunks, "digest", "left").mapInArrow(_shift, f"doc_id {kind}, start long, n_tokens long, root binary, crc long")
     return parts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.count(F.lit(1)).alias("n_chunks")).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", F.hex("root").alias("merkle_root"))
 
@@ -349,7 +436,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([x.tolist() for x in decoded(batch)], pa.list_(pa.int64()))], names=["digest", "own"])
 
     chunks = _chunks(spark, path, kind).mapInArrow(unpack, "digest binary, own array<long>")
-    uses = _recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", "digests", "root").mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
+    uses = _recipes(spark, path).mapInArrow(_read_recipes, f"doc_id {kind}, start long, n_tokens long, root binary, digest binary, place long, size long, behind long")
     parts = uses.join(chunks, "digest").groupBy("start", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "own"))).alias("parts"))
     return parts.select("doc_id", "start", F.flatten(F.transform("parts", lambda x: x["own"])).alias("ids"))
 

@@ -162,6 +162,44 @@ def test_word_encoder_on_odd_words():
         assert ids[offsets[k] : offsets[k + 1]].tolist() == tokenizer.encode(x, add_special_tokens=False).ids + [2]
 
 
+def test_word_encoder_on_all_letters():
+    """Every code point below U+3000, alone, between letters and in mixes, as the library encodes it."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    points = [chr(k) for k in range(1, 0x3000)]
+    given = points + [f"a{c}b" for c in points] + ["".join(rng.choice(points if rng.random() < 0.5 else points[:0x250]) for _ in range(rng.randrange(1, 12))) for _ in range(5000)]
+    ids, offsets = token_store.WordEncoder("word_bpe_49k.json").texts(pa.array(given), 2)
+    wanted = [e.ids + [2] for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+    assert [(x, ids[a:b].tolist()) for x, a, b, w in zip(given, offsets[:-1], offsets[1:], wanted, strict=True) if ids[a:b].tolist() != w] == []
+
+
+def test_store_tells_what_was_altered(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path, "word_bpe_49k.json", 2)
+    assert token_store.verify_store(spark, path).count() == docs.count()
+    recipes = spark.read.parquet(f"{path}/recipes").cache()
+    one = recipes.where("doc_id = 3")
+    swapped = recipes.withColumn("doc_id", F.when(F.col("doc_id") == 3, 4).when(F.col("doc_id") == 4, 3).otherwise(F.col("doc_id")))
+    for k, bad in enumerate([recipes.exceptAll(one), recipes.unionByName(one), swapped, recipes.where(F.col("part") != one.first()["part"]), recipes.withColumn("root", F.lit(b"x"))]):
+        other = f"{path}-{k}"
+        bad.write.parquet(f"{other}/recipes")
+        for name in ("manifest", "staged"):
+            spark.read.parquet(f"{path}/{name}").write.partitionBy(*(["kind"] if name == "staged" else [])).parquet(f"{other}/{name}")
+        with pytest.raises(Exception, match="manifest|Merkle"):
+            token_store.verify_store(spark, other).collect()
+
+
+def test_growing_root_is_the_trees():
+    for n in range(20):
+        leaves, own = [bytes([k]) * 32 for k in range(n)], token_store.GrowingRoot()
+        for x in leaves:
+            own.add(x)
+        assert own.root() == token_store.merkle_root(leaves)
+
+
 def test_quality_counts_against_brute_force(spark, docs):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = Counter(tuple(r)[:6] for r in quality.quality_rules(docs, labels).drop("base_failed", "kept").collect())
