@@ -8,7 +8,8 @@ vocabulary suffix that fits behind the last piece of what remains, and
 
 gives the count of every prefix in one pass. Pieces never reach over a space (it only begins a piece) nor over a line
 end (it has no piece), so a text falls apart into chunks whose states are shared by all texts: the states form a tree
-of prefixes, walked in sorted order. A worker keeps the totals of chunks while it lives.
+of prefixes, walked in sorted order. The table of a text holds, for each of its characters, by how much the count of the
+prefix that ends there differs from the one before: a signed byte each, put together from the tables of its chunks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, strings
+from .common import sliced, strings, trimmed
 
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
-#: Totals of chunks and fits of pairs that a worker keeps; beyond it starts anew, so its memory is bounded.
-MAX_CHUNKS, MAX_PAIRS = 1_200_000, 1_000_000
+#: Tables of chunks and fits of pairs that a worker keeps; beyond it starts anew, so its memory is bounded. Bytes of text at once.
+MAX_CHUNKS, MAX_PAIRS, SLICE = 500_000, 1_000_000, 4 << 20
 
 
 class PrefixCounter:
@@ -49,7 +50,7 @@ class PrefixCounter:
         #: Lengths of the pieces that end in a character, longest first.
         self.lengths = {c: sorted(x, reverse=True) for c, x in ends.items()}
         self.pairs: dict[int, bool] = {}
-        self.totals: dict[str, int] = {}
+        self.tables: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text, by merging the best adjacent pair, the leftmost first."""
@@ -95,14 +96,8 @@ class PrefixCounter:
                 last.append(-1)
                 count.append(count[i - 1] + len(chunk[i - 1].encode()))
 
-    def prefixes(self, chunk: str) -> list[int]:
-        """Counts of all prefixes of a chunk, the empty one first."""
-        count, last = [0], [-1]
-        self.extend(chunk, count, last)
-        return count
-
     def learn(self, raw: set[str]) -> None:
-        """Totals of chunks as texts have them. In sorted order neighbours share the states of their common prefix."""
+        """Tables of chunks as texts have them. In sorted order neighbours share the states of their common prefix."""
         count, last, before = [0], [-1], ""
         for chunk in sorted(raw):
             text = chunk.replace(" ", SPACE)
@@ -111,66 +106,54 @@ class PrefixCounter:
                 known += 1
             del count[known + 1 :], last[known + 1 :]
             self.extend(text, count, last)
-            self.totals[chunk] = count[-1]
+            self.tables[chunk] = bytes([(b - a) & 255 for a, b in zip(count, count[1:], strict=False)])
             before = text
 
-    def tokens(self, texts: pa.Array) -> np.ndarray:
-        """Token count of each text of a null-free array."""
-        counts = np.zeros(len(texts), np.int64)
-        # a text with runs of spaces, or one at an end, is cut by the pattern; any other simply at its spaces
-        plain = pc.and_(pc.not_equal(texts, ""), pc.invert(pc.match_substring_regex(texts, "^ |  | $"))).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
-        words = lists.flatten().dictionary_encode()
-        per_word = np.array(self.totals_of([" " + w for w in words.dictionary.to_pylist()]), np.int64)
-        sums = np.concatenate(([0], np.cumsum(per_word[words.indices.to_numpy(zero_copy_only=False)]))) if len(words) else np.zeros(1, np.int64)
-        offsets = lists.offsets.to_numpy()
-        counts[plain] = np.diff(sums[offsets - offsets[0]])
-        for i in np.flatnonzero(~plain):
-            counts[i] = sum(self.totals_of(_CHUNK.findall(f" {x}"))) if (x := texts[i].as_py()) else 0
-        return counts
-
-    def totals_of(self, raw: list[str]) -> list[int]:
-        """Totals of words that begin with spaces; such a word can hold line ends and fall into chunks there."""
-        totals = self.totals
-        if new := {x for x in raw if x not in totals}:
-            if len(totals) + len(new) > MAX_CHUNKS:
-                totals.clear()
+    def tables_of(self, raw: list[str]) -> list[bytes]:
+        """Tables of words that begin with spaces; such a word can hold line ends and fall into chunks there."""
+        tables = self.tables
+        if new := {x for x in raw if x not in tables}:
+            if len(tables) + len(new) > MAX_CHUNKS:
+                tables.clear()
                 new = set(raw)
             parts = {x: _CHUNK.findall(x) for x in new if "\n" in x}
             self.learn({y for x in parts.values() for y in x} | {x for x in new if x not in parts})
             for x, own in parts.items():
-                totals[x] = sum(map(totals.__getitem__, own))
-        return [totals[x] for x in raw]
-
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text, with the space that the model puts in front of any text."""
-        return [c.replace(" ", SPACE) for c in _CHUNK.findall(f" {text}")] if text else []
-
-    def at_prefixes(self, text: str) -> list[int]:
-        """Token count of every prefix of the text, the empty one first: one number more than it has characters."""
-        out, before = [0], 0
-        for k, chunk in enumerate(self.chunks(text)):
-            counts = self.prefixes(chunk)
-            # the first chunk holds the space of the model, which is no character of the text
-            out += [before + x for x in counts[2 if k == 0 else 1 :]]
-            before += counts[-1]
-        return out
-
-    def longest_prefix(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix with limit tokens at most."""
-        best, place, before = 0, 0, 0
-        for k, raw in enumerate(_CHUNK.findall(f" {text}") if text else ()):
-            if before > limit:
-                break
-            first, total = (1 if k == 0 else 0), self.totals_of([raw])[0]
-            if before + total <= limit:
-                best = place + len(raw) - first
-            else:  # the counts inside a chunk can be above or below its own
-                counts = self.prefixes(raw.replace(" ", SPACE))
-                best = max([best, *(place + i - first for i in range(first + 1, len(counts)) if before + counts[i] <= limit)])
-            place += len(raw) - first
-            before += total
-        return best
+                tables[x] = b"".join([tables[y] for y in own])
+        return [tables[x] for x in raw]
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The table of each text of a null-free array, one byte for each of its characters."""
+        texts = pc.replace_substring(texts, SPACE, " ")  # to the model the two are one
+        out: list[list[bytes]] = [[]] * len(texts)
+        # a text with runs of spaces, or one at an end, is cut by the pattern; any other simply at its spaces
+        plain = pc.and_(pc.not_equal(texts, ""), pc.invert(pc.match_substring_regex(texts, "^ |  | $"))).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        words = lists.flatten().dictionary_encode()
+        per_word = self.tables_of([" " + w for w in words.dictionary.to_pylist()])
+        codes, offsets = words.indices.to_pylist(), lists.offsets.to_numpy()
+        edges = (offsets - offsets[0]).tolist()
+        for i, a, b in zip(np.flatnonzero(plain).tolist(), edges[:-1], edges[1:], strict=True):
+            out[i] = [per_word[c] for c in codes[a:b]]
+        for i in np.flatnonzero(~plain).tolist():
+            if x := texts[i].as_py():
+                out[i] = self.tables_of(_CHUNK.findall(f" {x}"))
+        return [self.without_front(b"".join(x)) for x in out]
+
+    @staticmethod
+    def without_front(table: bytes) -> bytes:
+        """The model's own space in front of a text is no character of it: its byte goes into that of the first character."""
+        return bytes([(table[0] + table[1]) & 255]) + table[2:] if table else table
+
+
+def counts_at(table: bytes) -> np.ndarray:
+    """The token count at every prefix, the empty one first, from a table."""
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)))
+
+
+def longest(counts: np.ndarray, limit: int) -> int:
+    """Characters of the longest prefix with limit tokens at most."""
+    return int(np.flatnonzero(counts <= limit)[-1])
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -182,35 +165,43 @@ def counter(model_file: str) -> PrefixCounter:
     return _counters[model_file]
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """One row per document: n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix within limit).
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix within limit) and
+    prefix_table, which holds the exact count at every prefix: with it any later question of truncation or budget is
+    answered without the text (fitted(), counts_at()).
 
     model names a sentencepiece file of the public tokenizers. A null text counts as the empty text: no bytes and no
     tokens. Repeated rows are counted each on their own; an empty table gives no rows; other columns of docs are left
-    out, whatever their names. A text of any length is counted whole. prefixes adds prefix_tokens, the exact count at
-    every prefix, with which any later truncation or budget question is a lookup. No shuffle.
+    out, whatever their names. A text of any length is counted whole. No shuffle.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         own = counter(public_tokenizers.path(model))
         for whole in batches:
-            for batch in sliced(whole, "t", 32 << 20):
+            for batch in sliced(whole, "t", SLICE):
                 column = strings(batch.column("t"))
-                n, texts = own.tokens(column).tolist(), column.to_pylist()
+                tables = own.texts(column)
+                counts = [counts_at(x) for x in tables]
+                n = [int(x[-1]) for x in counts]
                 out = [
-                    batch.column("i"),
-                    pa.array([len(x.encode()) for x in texts], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array([x > limit for x in n], pa.bool_()),
-                    pa.array([own.longest_prefix(x, limit) if k > limit else len(x) for x, k in zip(texts, n, strict=True)], pa.int64()),
-                ]
-                if prefixes:
-                    out.append(pa.array([own.at_prefixes(x) for x in texts], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    names = [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"] + ["prefix_tokens"] * prefixes
+                    batch.column("i"), pc.binary_length(column).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()),
+                    pa.array([longest(x, limit) if k > limit else len(x) - 1 for x, k in zip(counts, n, strict=True)], pa.int64()), pa.array(tables, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_table"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes
+    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_table binary"
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+
+
+def fitted(counts: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """id and fit_chars for another limit, from the tables that token_counts() gave: nothing is encoded again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([longest(counts_at(x), limit) for x in batch.column("x").to_pylist()], pa.int64())], names=[id_col, "fit_chars"])
+
+    return counts.select(F.col(id_col).alias("i"), F.col("prefix_table").alias("x")).mapInArrow(run, f"`{id_col}` {counts.schema[id_col].dataType.simpleString()}, fit_chars long")

@@ -366,20 +366,38 @@ def test_prefix_counts_are_the_librarys(spark, docs):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for r, given in zip(token_counts.token_counts(docs, "piece_bpe_32k.model", limit=20, prefixes=True).collect(), docs.collect(), strict=True):
+    counted = token_counts.token_counts(docs, "piece_bpe_32k.model", limit=20)
+    for r, given in zip(counted.collect(), docs.collect(), strict=True):
         x = given["text"] or ""
         assert (r["doc_id"], r["n_bytes"], r["n_tokens"]) == (given["doc_id"], len(x.encode()), len(model.encode(x)))
         assert r["over_limit"] == (r["n_tokens"] > 20)
         if len(x) < 500:
-            assert r["prefix_tokens"] == [len(model.encode(x[:k])) for k in range(len(x) + 1)]
-            assert r["fit_chars"] == max(k for k, n in enumerate(r["prefix_tokens"]) if n <= 20)
-    odd = [" ", "   a", "a  b ", "\n\n a", "a \n b", "<s></s>", "▁▁a", "😀😀 a😀b", "0123456789" * 9, "-" * 90, " \t x"]
-    got = token_counts.token_counts(table(spark, odd), "piece_bpe_32k.model", prefixes=True).orderBy("doc_id").collect()
+            at = token_counts.counts_at(r["prefix_table"]).tolist()
+            assert at == [len(model.encode(x[:k])) for k in range(len(x) + 1)]
+            assert r["fit_chars"] == max(k for k, n in enumerate(at) if n <= 20)
+    wanted = [(r["doc_id"], r["fit_chars"]) for r in token_counts.token_counts(docs, "piece_bpe_32k.model", limit=7).collect()]
+    assert [tuple(r) for r in token_counts.fitted(counted, 7).collect()] == wanted
+    odd = [" ", "   a", "a  b ", "\n\n a", "a \n b", "<s></s>", "▁▁a", "▁ ▁", "▁  ", "a▁b ▁\n▁ c▁", "😀😀 a😀b", "0123456789" * 9, "-" * 90, " \t x", "▁"]
+    got = token_counts.token_counts(table(spark, odd), "piece_bpe_32k.model").orderBy("doc_id").collect()
     for x, r in zip(odd, got, strict=True):
-        assert r["prefix_tokens"] == [len(model.encode(x[:k])) for k in range(len(x) + 1)]
+        assert token_counts.counts_at(r["prefix_table"]).tolist() == [len(model.encode(x[:k])) for k in range(len(x) + 1)]
     assert token_counts.token_counts(table(spark, []), "piece_bpe_32k.model").count() == 0
 
 
+def test_counts_of_random_strings():
+    """Mixes of any code points, with many spaces of both kinds and line ends among them, as the library counts them."""
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own, rng = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PrefixCounter(path), random.Random(11)
+    points = [chr(k) for k in range(1, 0x3000)]
+    given = points + ["".join(rng.choice([" ", "▁", "\n", "a", "the", "-", rng.choice(points)]) for _ in range(rng.randrange(1, 14))) for _ in range(12000)]
+    got = [int(token_counts.counts_at(x)[-1]) for x in own.texts(pa.array(given, pa.large_string()))]
+    assert [(x, n, w) for x, n, w in zip(given, got, map(len, model.encode(given)), strict=True) if n != w] == []
+
+
 SECRETS = ["password = hunter2hunter2", 'API_KEY: "abcd1234efgh" token=short secret: x', "AKIA" + "A1" * 8 + " AKIAX", "f" * 31 + " " + "0a" * 20, "é token='ab/cd+ef==' passwd:12345678", "-----BEGIN RSA PRIVATE KEY-----", "token=secret: abcdefgh", "see https://me:pw@host/x", "gh" + "p_" + "a" * 36, "xoxb-1234567890ab", None, ""]
 
 
