@@ -361,6 +361,104 @@ def test_pages(spark):
     assert html_text.main_text("<div>" * 2000 + "<b" + "<" * 2000) is not None
 
 
+LANGUAGES = {
+    "ru": "Это довольно длинное предложение о том, как на этом языке пишут тексты для страниц.",
+    "pl": "Pierwsze zdanie opowiada o książkach, które leżały przez długie lata na półkach biblioteki.",
+    "zh": "这是一个比较长的中文句子,用来说明页面的正文应当被完整地保留下来,而不是被丢弃。",
+    "el": "Αυτή είναι μια μεγάλη πρόταση που δείχνει πώς γράφονται τα κείμενα σε αυτή τη γλώσσα.",
+    "ar": "هذه جملة طويلة نسبيا توضح كيف تكتب النصوص في هذه اللغة على صفحات الويب الحديثة.",
+    "en": "This is a sentence of the kind that is to be found on the pages of this site and of others.",
+}
+
+
+def test_pages_of_any_language_without_article():
+    for text in LANGUAGES.values():
+        body = "\n".join([" ".join([text] * n) for n in (4, 3, 5)])
+        page = "<html><body><div><a href=a>Alpha</a> <a href=b>Beta</a></div>" + "".join(f"<p>{x}</p>" for x in body.split("\n")) + "<ul><li><a href=c>Gamma</a><li><a href=d>Delta</a></ul></body></html>"
+        assert html_text.main_text(page) == body
+
+
+def test_density_links_and_neighbours_decide_without_markup():
+    """Pages of plain div elements without a class: nothing but the method's rules can tell."""
+    good = "This is a paragraph of the text that we are to read, and it is as long as it has to be so that it is a good one for all of us."
+    listing = "Model XJ200 Weight 55kg Height 120cm Colour anthracite Voltage 230V Power 1500W Warranty 24 months Order number 88-1204-7 Shipping class B"
+    links = '<div><a href=a>The first of the stories that we have for you</a> | <a href=b>and the other one that is of use to all</a></div>'
+    wrap = lambda *x: "".join(f"<div>{y}</div>" for y in x)
+    assert html_text.main_text(links + wrap(good, listing, good)) == f"{good}\n{good}"  # density
+    assert html_text.main_text(wrap("A title", good, "Short one.", good)) == f"A title\n{good}\nShort one.\n{good}"  # neighbours, both good
+    labels = lambda page: [b.label for b in settled(page)]
+
+    def settled(page):
+        blocks = html_text.blocks_of(page)
+        html_text.settle(blocks)
+        return blocks
+
+    assert labels(wrap(good, "a", "b", "c") + links) == ["good", "good", "bad", "bad", "bad"]  # the nearer one; of equal ones the bad
+    assert labels(wrap(good, "a", "b") + links + links) == ["good", "good", "bad", "bad", "bad"]
+    assert labels(wrap("one", "two")) == ["good", "good"]  # no decided block
+    assert html_text.main_text(f'<div class="no-sidebar layout">{wrap(good, good)}</div>') == f"{good}\n{good}"  # a layout's name
+    assert html_text.main_text(f'<main>{wrap(good)}{links}</main>') == good  # links within main
+
+
+def test_neighbours_are_those_of_a_search():
+    """The sweeps against a walk from each block."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 14)
+        blocks, main = [], 0
+        for _ in range(n):
+            main = rng.choice([main, main, rng.randrange(3)])
+            blocks.append(html_text.Block("x", 0, rng.random() < 0.3, main))
+        labels, bad = [rng.choice(["good", "bad", "short", "short"]) for _ in range(n)], [b.bad for b in blocks]
+        for step in (-1, 1):
+            for i, got in enumerate(html_text.neighbours(blocks, labels, step)):
+                j, m = i + step, blocks[i].main
+                while 0 <= j < n and (not m or blocks[j].main == m) and (labels[j] == "short" or m and bad[j]):
+                    j += step
+                inside = 0 <= j < n and (not m or blocks[j].main == m)
+                assert got[0] == (labels[j] if inside else "good" if m else "") and (not got[0] or got[1] == j)
+
+
+def test_pages_against_what_they_were_made_of():
+    """Pages put together from parts of which each says whether it is main text: the brute force is the list of parts."""
+    rng = random.Random(21)
+    stop, other = "the of and to a in that is it was for on are with as this".split(), ["lorem", "table", "garden", "window", "street", "paper", "colour"]
+    prose = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.5 else rng.choice(other) for _ in range(n)).capitalize() + "."
+    spaced = lambda x: x.replace(" ", rng.choice([" ", "  ", "\n\t "]), 2)
+    for _ in range(200):
+        wanted, page = [], ""
+
+        def paragraph(tag="p"):
+            nonlocal page
+            x = prose(rng.randrange(40, 90))
+            wanted.append(f"{x} A & B")
+            page += f"<{tag}>{spaced(x)} <b>A</b> &amp; B" + (f"</{tag}>" if rng.random() < 0.8 or tag != "p" else "")
+
+        def boilerplate():
+            nonlocal page
+            x = prose(rng.randrange(20, 60))
+            page += rng.choice([f"<nav><ul><li><a href='x>y'>{x}</a></ul></nav>", f"<aside>{x}</aside>", f"<div class='comments-list'><p>{x}</p></div>", f"<script>if (a<b) '</p>{x}'</script>", f"<style>p {{ {x} }}</style>", f"<form><p>{x}</p><button>Go</button></form>", f"<footer>{x}</footer>", f"<!-- {x} <p> -->", f'<div id="cookie-notice">{x}</div>', f"<div><a href=u>{x}</a></div>"])
+
+        article = rng.random() < 0.5
+        page += "<!doctype html><html><head><title>T</title></head><body><header><h1>Site</h1></header>" + ("<article>" if article else "")
+        for _ in range(rng.randrange(1, 12)):
+            if rng.random() < 0.6:
+                paragraph(rng.choice(["p", "div", "blockquote"]))
+            else:
+                boilerplate()
+        page += "</article>" * article + "<footer>&copy; all of it is ours</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(wanted)
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for piece in ('<a href="', "<li>ab", "<div>", "</span>", "<", '<div class="', "<!-", "<a b='c\">", "&", "<p id=nav_", "word <b "):
+        began = time.time()
+        html_text.main_text("<div>" * 5000 + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 6, piece
+
+
 def test_prefix_counts_are_the_librarys(spark, docs):
     import public_tokenizers
     import sentencepiece
