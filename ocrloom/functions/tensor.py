@@ -129,18 +129,50 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), num(0), lambda s, x: s + x)
 
 
+def upto(n: int | Column) -> Column:
+    """0, 1, ... n - 1."""
+    return F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1)
+
+
 def matmul(a: Column, b: Column, rows: int, inner: int, cols: int) -> Column:
-    """(rows, inner) times (inner, cols)."""
-    cells = [dot(F.slice(a, r * inner + 1, inner), column_of(b, c, inner, cols)) for r in range(rows) for c in range(cols)]
-    return F.array(*cells)
+    """(rows, inner) times (inner, cols): a plan of one size for any shape, the cells are counted in the data."""
+
+    def cells(x: Column, y: Column) -> Column:
+        def cell(i: Column) -> Column:
+            r, c = F.floor(i / cols).cast("int"), i % cols
+            return F.aggregate(upto(inner), num(0), lambda s, k: s + F.get(x, r * inner + k) * F.get(y, k * cols + c))
+
+        return F.transform(upto(rows * cols), cell)
+
+    return let(a, lambda x: let(b, lambda y: cells(x, y)))
+
 
+def permute(a: Column, shape: Sequence[int], axes: Sequence[int]) -> Column:
+    """A tensor of this shape with its axes in another order; axis k of the result is axis axes[k] of a."""
+    if sorted(axes) != list(range(len(shape))):
+        raise ValueError("axes must name each axis once")
+    strides = [1] * len(shape)
+    for k in range(len(shape) - 2, -1, -1):
+        strides[k] = strides[k + 1] * shape[k + 1]
+    size = strides[0] * shape[0] if shape else 1
 
-def column_of(b: Column, c: int, inner: int, cols: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(inner - 1)), lambda k: F.element_at(b, k * cols + F.lit(c + 1)))
+    def source(i: Column) -> Column:
+        place, inner = F.lit(0), size
+        for axis in axes:
+            inner //= shape[axis]
+            place = place + F.floor(i / inner).cast("int") % shape[axis] * strides[axis]
+        return place
+
+    return let(a, lambda x: F.transform(upto(size), lambda i: F.get(x, source(i))))
 
 
 def transpose(a: Column, rows: int, cols: int) -> Column:
-    return F.flatten(F.array(*[column_of(a, c, rows, cols) for c in range(cols)]))
+    return permute(a, (rows, cols), (1, 0))
+
+
+def matmul_bias_softmax(a: Column, b: Column, bias: Column, rows: int, inner: int, cols: int) -> Column:
+    """softmax(a b + bias) of each row."""
+    return by_row(matmul(a, b, rows, inner, cols), cols, lambda r: bias_softmax(r, bias))
 
 
 def linear(a: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
@@ -148,14 +180,19 @@ def linear(a: Column, weights: Sequence[Sequence[float]], bias: Sequence[float])
     return F.array(*[dot(a, F.array(*map(num, w))) + num(b) for w, b in zip(weights, bias, strict=True)])
 
 
-def attention(q: Column, k: Column, v: Column, tokens: int, width: int) -> Column:
-    """softmax(q k^T / sqrt(width)) v of one head."""
-    scale, out = width**-0.5, []
-    for t in range(tokens):
-        row = F.slice(q, t * width + 1, width)
-        weights = softmax(F.array(*[dot(row, F.slice(k, s * width + 1, width)) * num(scale) for s in range(tokens)]))
-        out += [dot(weights, column_of(v, c, tokens, width)) for c in range(width)]
-    return F.array(*out)
+def attention(q: Column, k: Column, v: Column, tokens: int, width: int, heads: int = 1) -> Column:
+    """softmax(q k^T / sqrt(width)) v of each head; rows are tokens, and the heads stand side by side in a row."""
+    scale, row = width**-0.5, heads * width
+
+    def of(q: Column, k: Column, v: Column) -> Column:
+        def one(th: Column) -> Column:
+            t, head = F.floor(th / heads).cast("int"), th % heads * width
+            score = lambda s: F.aggregate(upto(width), num(0), lambda acc, w: acc + F.get(q, t * row + head + w) * F.get(k, s * row + head + w)) * num(scale)
+            return let(softmax(F.transform(upto(tokens), score)), lambda p: F.transform(upto(width), lambda w: F.aggregate(upto(tokens), num(0), lambda acc, s: acc + F.get(p, s) * F.get(v, s * row + head + w))))
+
+        return F.flatten(F.transform(upto(tokens * heads), one))
+
+    return let(q, lambda x: let(k, lambda y: let(v, lambda z: of(x, y, z))))
 
 
 # planes
@@ -179,22 +216,41 @@ def over_grid(h: int, w: int, f: Callable[[Column, Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: f(F.floor(i / w), i % w))
 
 
-def conv2d(planes: Sequence[Column], weights: Sequence[Sequence[Sequence[float]]], bias: float, h: int, w: int, stride: tuple[int, int] = (1, 1), pads: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Column:
+Kernel = Sequence[Sequence[float]]
+
+
+def conv2d(planes: Sequence[Column], weights: Sequence[Kernel], bias: float, h: int, w: int, stride: tuple[int, int] = (1, 1), pads: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Column:
     """One output channel: cross-correlation of the input planes with weights[channel][ky][kx]; pads are top, left, bottom, right."""
+    return conv2d_layer(F.concat(*planes) if len(planes) > 1 else planes[0], [weights], [bias], h, w, stride, pads)
+
+
+def conv2d_layer(planes: Column, weights: Sequence[Sequence[Kernel]], bias: Sequence[float], h: int, w: int, stride: tuple[int, int] = (1, 1), pads: tuple[int, int, int, int] = (0, 0, 0, 0), activation: Callable[[Column], Column] | None = None) -> Column:
+    """All output channels, one behind the other: weights[output][channel][ky][kx], then bias, then activation (relu, silu, gelu, ...).
+
+    Kernels are a table of taps in the data, and channels and cells are counted there: the plan has one size for any shape.
+    """
     top, left, bottom, right = pads
-    kh, kw = len(weights[0]), len(weights[0][0])
+    kh, kw = len(weights[0][0]), len(weights[0][0][0])
     oh, ow = output_size(h, kh, stride[0], top, bottom), output_size(w, kw, stride[1], left, right)
 
-    def cell(y: Column, x: Column) -> Column:
-        out = num(bias)
-        for plane, kernel in zip(planes, weights, strict=True):
-            for ky in range(kh):
-                for kx in range(kw):
-                    if kernel[ky][kx]:
-                        out = out + at(plane, y * stride[0] + ky - top, x * stride[1] + kx - left, h, w) * num(kernel[ky][kx])
-        return out
+    def tap(c: int, ky: int, kx: int, v: float) -> Column:
+        return F.struct(F.lit(c * h * w).alias("c"), F.lit(ky - top).alias("y"), F.lit(kx - left).alias("x"), num(v).alias("w"))
 
-    return over_grid(oh, ow, cell)
+    taps = F.array(*[F.array(*[tap(c, ky, kx, v) for c, kernel in enumerate(own) for ky, line in enumerate(kernel) for kx, v in enumerate(line) if v] or [tap(0, 0, 0, 0.0)]) for own in weights])
+    biases = F.array(*map(num, bias))
+
+    def cell(p: Column, i: Column) -> Column:
+        o, y, x = F.floor(i / (oh * ow)).cast("int"), F.floor(i / ow).cast("int") % oh * stride[0], i % ow * stride[1]
+
+        def add(acc: Column, k: Column) -> Column:
+            yy, xx = y + k["y"], x + k["x"]
+            inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
+            return acc + F.when(inside, F.get(p, k["c"] + yy * w + xx) * k["w"]).otherwise(num(0))
+
+        out = F.aggregate(F.get(taps, o), F.get(biases, o), add)
+        return out if activation is None else activation(out)
+
+    return let(planes, lambda p: F.transform(upto(len(weights) * oh * ow), lambda i: cell(p, i)))
 
 
 def conv_transpose_2x2(plane: Column, weights: Sequence[Sequence[float]], bias: float, h: int, w: int) -> Column:

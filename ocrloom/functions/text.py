@@ -26,16 +26,22 @@ def overlap(text: Column, following: Column) -> Column:
     return F.coalesce(F.array_max(fits), F.lit(0))
 
 
+def pieces(text: Column, size: int, step: int) -> Column:
+    """A text cut into pieces of size characters that begin step characters apart; the last may be shorter. An empty text has one."""
+    last = F.greatest(F.ceil((F.length(text) - size) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * step + 1, F.lit(size)))
+
+
 def joined(parts: Column) -> Column:
     """An array of structs (text, score), in order, as one struct (text, score): overlaps stand once, the score is the mean
-    over the characters that each part adds, 0 if none adds any."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("sum"), F.lit(0).alias("weight"))
+    over the characters that each part adds, 0 if none adds any. Of what has been joined only the end is looked at."""
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("tail"), F.lit(0.0).alias("sum"), F.lit(0).alias("weight"))
 
     def add(acc: Column, part: Column) -> Column:
-        shared = overlap(acc["text"], part["text"])
+        shared = overlap(acc["tail"], part["text"])
         added = F.length(part["text"]) - shared
         rest = F.substring(part["text"], shared + 1, F.greatest(added, F.lit(0)))
-        return F.struct(F.concat(acc["text"], rest).alias("text"), (acc["sum"] + part["score"] * added).alias("sum"), (acc["weight"] + added).alias("weight"))
+        return F.struct(F.concat(acc["text"], rest).alias("text"), F.right(F.concat(acc["tail"], rest), F.lit(MAX_OVERLAP)).alias("tail"), (acc["sum"] + part["score"] * added).alias("sum"), (acc["weight"] + added).alias("weight"))
 
     return F.aggregate(parts, start, add, lambda acc: F.struct(acc["text"].alias("text"), F.when(acc["weight"] > 0, acc["sum"] / acc["weight"]).otherwise(0.0).alias("score")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,5 +70,31 @@ def verified(files: DataFrame, contents: DataFrame) -> DataFrame:
     return files.join(seen, ["name", "file"], "left").groupBy("name").agg(F.bool_and(ok).alias("valid"), F.count_if(~ok).alias("bad_files"))
 
 
+#: The environment variable that names another root of model packages.
+ROOT_VARIABLE = "OCRLOOM_MODELS"
+#: The recognizer's dictionary, where no other is given, stands beside its model file under this name.
+DICTIONARY_FILE = "inference.yml"
+
+
+def model_root(default: str, given: str | None = None) -> str:
+    """Where packages lie: the folder given, or else the environment's, or else default."""
+    return (given or os.environ.get(ROOT_VARIABLE) or default).rstrip("/") or "/"
+
+
+def dictionary_beside(model_file: str, given: str | None = None) -> str:
+    """A recognizer's dictionary: the file given, or that beside the model file."""
+    if given:
+        return given
+    folder, slash, _ = model_file.rpartition("/")
+    return f"{folder}{slash}{DICTIONARY_FILE}"
+
+
+def resolved(root: str, files: DataFrame, listing: DataFrame) -> DataFrame:
+    """name, file and path of each file of a catalog; path is null where the listing (name, file, length) lacks the file or
+    has it with another length."""
+    seen = listing.select("name", "file", F.col("length").alias("found"))
+    return files.join(seen, ["name", "file"], "left").select("name", "file", F.when(F.col("found") == F.col("bytes"), asset_path(root, F.col("name"), F.col("file"))).alias("path"))
+
+
 def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
     return files.join(listing, ["name", "file"], "left_anti").select("name", "file")

@@ -37,13 +37,18 @@ class DetectionOptions:
             raise ValueError("min_area, max_boxes and unclip_ratio must be positive")
 
 
+def heatmap_problem(values: Column, width: Column, height: Column) -> Column:
+    """What forbids a heatmap, null for a sound one: not width times height values, or one that isn't finite."""
+    finite = F.size(values) == F.size(F.filter(values, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return F.when(F.size(values) != width * height, "shape").when(~finite, "not finite")
+
+
 def active_pixels(heatmaps: DataFrame, threshold: float) -> DataFrame:
     """image_id, x, y, v of the pixels at or above threshold. heatmaps: image_id, width, height, values and, where the
     content is smaller than the map, content_width and content_height. A value that isn't finite is an error."""
     cw = F.least("content_width", "width") if "content_width" in heatmaps.columns else F.col("width")
     ch = F.least("content_height", "height") if "content_height" in heatmaps.columns else F.col("height")
-    finite = F.size("values") == F.size(F.filter("values", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    ok = (F.size("values") == F.col("width") * F.col("height")) & finite
+    ok = heatmap_problem(F.col("values"), F.col("width"), F.col("height")).isNull()
     values = F.when(ok, F.col("values")).otherwise(F.raise_error(F.lit("a heatmap has values that aren't finite, or not width times height of them")))
     # pixels are filtered in their array, so only active ones become rows
     active = F.filter(F.transform(values, lambda v, i: F.struct(i.alias("i"), v.cast("double").alias("v"))), lambda p: p["v"] >= threshold)
@@ -65,58 +70,100 @@ def label_components(pixels: DataFrame) -> DataFrame:
 
 
 def _label_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """y, x and label of the set cells of a plane, by union over runs of a row and those that touch them in the row above."""
+    """y, x and label of the set cells of a plane: labels move between runs of a row and those that touch them in the row
+    above, and then to the label's own label, until none moves. A label is the first place, in raster order."""
     h, w = mask.shape
     flat = np.zeros((h, w + 1), np.int8)
     flat[:, :w] = mask
     edge = np.diff(flat.ravel(), prepend=0)
     first, behind = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    row, begin, end = (first // (w + 1)).tolist(), (first % (w + 1)).tolist(), (behind % (w + 1)).tolist()
-    root = list(range(len(row)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    above, k = 0, 0
-    while k < len(row):
-        above = max(above, 0)
-        while above < k and (row[above] < row[k] - 1 or (row[above] == row[k] - 1 and end[above] < begin[k])):
-            above += 1
-        j = above
-        while j < k and row[j] == row[k] - 1 and begin[j] <= end[k]:
-            a, b = top(j), top(k)
-            root[max(a, b)] = min(a, b)
-            j += 1
-        k += 1
+    row, begin, end = first // (w + 1), first % (w + 1), behind % (w + 1)
+    # the runs of the row above that touch a run lie side by side: from the first that ends at its beginning or later
+    key_end, key_begin = row * (w + 2) + end, row * (w + 2) + begin
+    lo = np.searchsorted(key_end, (row - 1) * (w + 2) + begin)
+    hi = np.searchsorted(key_begin, (row - 1) * (w + 2) + end, side="right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(row)), n)
+    above = np.arange(len(below)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    label = np.arange(len(row))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, below, label[above])
+        np.minimum.at(new, above, label[below])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
     y, x = np.nonzero(mask)
-    lengths = behind - first
-    labels = np.array([row[t] * w + begin[t] for t in map(top, range(len(row)))], np.int64)
-    return y, x, np.repeat(labels, lengths)
+    return y, x, np.repeat(row[label] * w + begin[label], behind - first)
+
+
+def _planes(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of each row: its image_id, the heatmap, and the cells of the content."""
+    values, offsets = batch.column("values").values.to_numpy(zero_copy_only=False), batch.column("values").offsets.to_numpy()
+    sizes = zip(*(batch.column(c).to_pylist() for c in ("width", "height", "cw", "ch")), strict=True)
+    for k, (w, h, cw, ch) in enumerate(sizes):
+        plane = values[offsets[k] : offsets[k + 1]]
+        if len(plane) != w * h or not np.isfinite(plane).all():
+            raise ValueError("a heatmap has values that aren't finite, or not width times height of them")
+        on = np.zeros((h, w), bool)
+        on[:ch, :cw] = True
+        yield batch.column("image_id").slice(k, 1), plane.reshape(h, w), on
+
+
+def _heatmaps(heatmaps: DataFrame) -> DataFrame:
+    sized = "content_width" in heatmaps.columns
+    return heatmaps.select("image_id", "width", "height", (F.col("content_width") if sized else F.col("width")).alias("cw"), (F.col("content_height") if sized else F.col("height")).alias("ch"), F.col("values").cast("array<double>").alias("values"))
 
 
 def labelled_pixels(heatmaps: DataFrame, threshold: float) -> DataFrame:
     """What label_components(active_pixels()) gives, found image by image where its row lies: no shuffle, no rounds."""
-    sized = "content_width" in heatmaps.columns
-    rows = heatmaps.select("image_id", "width", "height", (F.col("content_width") if sized else F.col("width")).alias("cw"), (F.col("content_height") if sized else F.col("height")).alias("ch"), F.col("values").cast("array<double>").alias("values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                one = batch.slice(k, 1)
-                w, h, cw, ch = (one.column(c)[0].as_py() for c in ("width", "height", "cw", "ch"))
-                plane = one.column("values").flatten().to_numpy(zero_copy_only=False)
-                if len(plane) != w * h or not np.isfinite(plane).all():
-                    raise ValueError("a heatmap has values that aren't finite, or not width times height of them")
-                plane = plane.reshape(h, w)
-                mask = plane >= threshold
-                mask[ch:], mask[:, cw:] = False, False
-                y, x, label = _label_runs(mask)
-                ids = one.column("image_id").take(pa.array(np.zeros(len(y), np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(plane[y, x]), pa.array(np.full(len(y), w), pa.int64()), pa.array(label)], names=["image_id", "x", "y", "v", "width", "label"])
-
-    return rows.mapInArrow(run, f"image_id {heatmaps.schema['image_id'].dataType.simpleString()}, x long, y long, v double, width long, label long")
+            for image, plane, on in _planes(batch):
+                y, x, label = _label_runs((plane >= threshold) & on)
+                ids = image.take(pa.array(np.zeros(len(y), np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(plane[y, x]), pa.array(np.full(len(y), plane.shape[1]), pa.int64()), pa.array(label)], names=["image_id", "x", "y", "v", "width", "label"])
+
+    return _heatmaps(heatmaps).mapInArrow(run, f"image_id {heatmaps.schema['image_id'].dataType.simpleString()}, x long, y long, v double, width long, label long")
+
+
+_MOMENTS, _AXES = ("n", "score", "sx", "sy", "sxx", "sxy", "syy"), ("cx", "cy", "ax", "ay", "a0", "a1", "b0", "b1")
+
+
+def components_of(heatmaps: DataFrame, threshold: float) -> DataFrame:
+    """A row per component: image_id, label, the sums of component_moments(), centre, axis, and the spans along and across it.
+
+    Labels, sums and spans come from one pass over an image where its row lies, so pixels never leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for image, plane, on in _planes(batch):
+                y, x, label = _label_runs((plane >= threshold) & on)
+                found, of = np.unique(label, return_inverse=True)
+                n = np.bincount(of, minlength=len(found))
+                total = lambda v: np.bincount(of, v, len(found))  # noqa: E731, B023
+                score, sx, sy, sxx, sxy, syy = total(plane[y, x]) / n, total(x), total(y), total(x * x), total(x * y), total(y * y)
+                angle = 0.5 * np.arctan2(2 * (n * sxy - sx * sy), (n * sxx - sx * sx) - (n * syy - sy * sy))
+                ax, ay, cx, cy = np.cos(angle), np.sin(angle), sx / n + 0.5, sy / n + 0.5
+                turn = np.where((ax < 0) | ((np.abs(ax) < geo.FLOAT_EPSILON) & (ay < 0)), -1.0, 1.0)
+                ax, ay = ax * turn, ay * turn
+                dx, dy = x + 0.5 - cx[of], y + 0.5 - cy[of]
+                spans = []
+                for v in (dx * ax[of] + dy * ay[of], dy * ax[of] - dx * ay[of]):
+                    for f, edge in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+                        spans.append(np.full(len(found), edge))
+                        f.at(spans[-1], of, v)
+                ids.append(image.take(pa.array(np.zeros(len(found), np.int64))))
+                rows.append((found, n, score, *(v.astype(np.int64) for v in (sx, sy, sxx, sxy, syy)), cx, cy, ax, ay, *spans))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(np.concatenate(c)) for c in zip(*rows, strict=True))], names=["image_id", "label", *_MOMENTS, *_AXES])
+
+    kinds = {"n": "long", "score": "double", **dict.fromkeys(_MOMENTS[2:], "long"), **dict.fromkeys(_AXES, "double")}
+    return _heatmaps(heatmaps).mapInArrow(run, f"image_id {heatmaps.schema['image_id'].dataType.simpleString()}, label long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def component_moments(labelled: DataFrame) -> DataFrame:
@@ -137,6 +184,11 @@ def rotated_boxes(labelled: DataFrame, options: DetectionOptions) -> DataFrame:
     dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
     along, across = dx * F.col("ax") + dy * F.col("ay"), dy * F.col("ax") - dx * F.col("ay")
     spans = labelled.join(axes, ["image_id", "label"]).groupBy("image_id", "label", "n", "score", "cx", "cy", "ax", "ay").agg(F.min(along).alias("a0"), F.max(along).alias("a1"), F.min(across).alias("b0"), F.max(across).alias("b1"))
+    return boxed(spans, options)
+
+
+def boxed(spans: DataFrame, options: DetectionOptions) -> DataFrame:
+    """image_id, label, n, score, polygon from the centres, axes and spans of components; the filters apply."""
     mid_a, mid_b = (F.col("a0") + F.col("a1")) / 2, (F.col("b0") + F.col("b1")) / 2
     half_a, half_b = (F.col("a1") - F.col("a0") + 1) * options.unclip_ratio / 2, (F.col("b1") - F.col("b0") + 1) * options.unclip_ratio / 2
 
@@ -144,7 +196,8 @@ def rotated_boxes(labelled: DataFrame, options: DetectionOptions) -> DataFrame:
         a, b = mid_a + i * half_a, mid_b + j * half_b
         return F.array(F.col("cx") + a * F.col("ax") - b * F.col("ay"), F.col("cy") + a * F.col("ay") + b * F.col("ax"))
 
-    return spans.select("image_id", "label", "n", "score", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("polygon"))
+    kept = spans.where((F.col("n") >= options.min_area) & (F.col("score") >= options.box_threshold))
+    return kept.select("image_id", "label", "n", "score", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("polygon"))
 
 
 def mapped_to_source(boxes: DataFrame, source_width: Column, source_height: Column, content_width: Column, content_height: Column) -> DataFrame:
@@ -165,7 +218,7 @@ def best_in_reading_order(detections: DataFrame, max_boxes: int, found: str = "l
 def extract_detections(heatmaps: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:  # noqa: B008
     """image_id, det_idx, score, polygon in source coordinates. heatmaps: image_id, width, height, values; source_width,
     source_height, content_width and content_height where source and map differ."""
-    boxes = rotated_boxes(labelled_pixels(heatmaps, options.binary_threshold), options)
+    boxes = boxed(components_of(heatmaps, options.binary_threshold), options)
     if "source_width" in heatmaps.columns:
         sizes = heatmaps.select("image_id", "source_width", "source_height", "content_width", "content_height")
         boxes = mapped_to_source(boxes.join(sizes, "image_id"), F.col("source_width"), F.col("source_height"), F.col("content_width"), F.col("content_height"))

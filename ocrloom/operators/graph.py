@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that the session names; into one of our own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ocrloom-"))
-    return df.checkpoint(eager=True)
+from .joins import cut_lineage, hot_keys, looked_up
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (g, id) with label, the least id that links (g, a, b) reach within the group g.
 
-    Rounds of two joins: the least label among a node's neighbours, then the label of the label, until none moves.
+    Rounds of two lookups: the least label among a node's neighbours, then the label of the label, until none moves. A hub
+    and a label that many nodes have are hot keys, whose rows aren't brought together; minima have partial ones before.
     """
-    both = links.select("g", "a", "b").unionByName(links.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = links.select("g", "a", "b").unionByName(links.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("g", "id", F.col("id").alias("label")))
+    hubs = hot_keys(both, ["g", "b"])
+    # the first round needs no lookup: every node's label is its own
+    near = both.groupBy("g", F.col("a").alias("id")).agg(F.min("b").alias("near"))
+    labels = cut_lineage(nodes.select("g", "id").join(near, ["g", "id"], "left").select("g", "id", F.least("id", F.coalesce("near", "id")).alias("label")))
     while True:
-        near = both.join(labels.select("g", F.col("id").alias("b"), "label"), ["g", "b"]).groupBy("g", F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, ["g", "id"], "left").select("g", "id", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        jump = moved.select("g", F.col("id").alias("to"), F.col("to").alias("over"))
-        new = cut_lineage(moved.join(jump, ["g", "to"]).select("g", "id", "over", (F.col("over") != F.col("label")).alias("changed")))
-        labels = new.select("g", "id", F.col("over").alias("label"))
-        if new.where("changed").isEmpty():
+        seen = looked_up(both, labels.select("g", F.col("id").alias("b"), "label"), ["g", "b"], hubs)
+        near = seen.groupBy("g", F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        moved = cut_lineage(labels.join(near, ["g", "id"], "left").select("g", "id", "label", F.least("label", F.coalesce("near", "label")).alias("to")))
+        if moved.where("to <> label").isEmpty():
             return labels
+        over = moved.select("g", F.col("id").alias("to"), F.col("to").alias("over"))
+        labels = cut_lineage(looked_up(moved, over, ["g", "to"]).select("g", "id", F.col("over").alias("label")))

@@ -57,23 +57,57 @@ def canvas(pixels: np.ndarray, polygon: np.ndarray, height: int, content_width:
     return out
 
 
+#: Bytes of canvases that are handed on together.
+AT_ONCE = 8 << 20
+
+
 def prepared(crops: DataFrame, height: int | None, mean: tuple[float, float, float], std: tuple[float, float, float]) -> DataFrame:
     """crops (any columns, with pixels of interleaved B, G, R bytes, width, height, polygon, content_width, input_width)
     with data, array<float> of shape [3, rows, input_width], instead of the pixels; columns behind the content stay 0.
 
     rows is height, or the column input_height where height is None. Narrow: a crop is made where its image lies.
     """
-    rest = [c for c in crops.columns if c != "pixels"]
-    schema = ", ".join(f"`{c}` {crops.schema[c].dataType.simpleString()}" for c in rest) + ", data array<float>"
+    of = ["polygon", "content_width", "input_width"] + ["input_height"] * (height is None)
+    rest = [c for c in crops.columns if c not in ("pixels", *of)]
+    made = prepared_crops(crops.select(*rest, "pixels", F.array(F.struct(*of)).alias("crops")), height, mean, std)
+    return made.select(*[c for c in crops.columns if c != "pixels"], "data")
+
+
+def prepared_crops(images: DataFrame, height: int | None, mean: tuple[float, float, float], std: tuple[float, float, float]) -> DataFrame:
+    """A row per crop of each image: the image's columns but pixels and crops, the crop's fields, and data as in prepared().
+
+    images has pixels, width, height and crops, an array of structs with polygon, content_width, input_width (and
+    input_height where height is None). An image's pixels are there once, however many crops are made of it.
+    """
+    rest, of = [c for c in images.columns if c not in ("pixels", "crops")], images.schema["crops"].dataType.elementType.names
+    kinds = [f"`{c}` {images.schema[c].dataType.simpleString()}" for c in rest] + [f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema["crops"].dataType.elementType.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):  # a row's canvas is large; rows of a batch aren't held together
-                row = batch.slice(k, 1)
-                get = {c: row.column(c)[0].as_py() for c in ("pixels", "width", "height", "polygon", "content_width", "input_width")}
-                rows = height if height is not None else row.column("input_height")[0].as_py()
-                image = np.frombuffer(get["pixels"], np.uint8).reshape(get["height"], get["width"], 3).astype(np.float64)
-                data = canvas(image, np.array(get["polygon"]), rows, get["content_width"], get["input_width"], mean, std).astype(np.float32).ravel()
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in rest), pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), pa.array(data))], names=[*rest, "data"])
-
-    return crops.mapInArrow(run, schema)
+            crops, offsets = batch.column("crops").values, batch.column("crops").offsets.to_numpy()
+            fields = {c: crops.field(c) for c in of}
+            shapes = list(zip(*(fields[c].to_pylist() for c in ("polygon", "content_width", "input_width")), [height] * len(crops) if height is not None else fields["input_height"].to_pylist(), strict=True))
+            sizes = list(zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True))
+            image, crop, data, held = [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                ends = np.cumsum([0, *map(len, data)])  # noqa: B023
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(data)))  # noqa: B023
+                at, place = pa.array(image, pa.int64()), pa.array(crop, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), *(fields[c].take(place) for c in of), lists], names=[*rest, *of, "data"])  # noqa: B023
+
+            for k, (w, h) in enumerate(sizes):
+                pixels = np.frombuffer(batch.column("pixels")[k].as_py(), np.uint8).reshape(h, w, 3).astype(np.float64)
+                for j in range(offsets[k], offsets[k + 1]):
+                    polygon, content, width, lines = shapes[j]
+                    data.append(canvas(pixels, np.array(polygon), lines, content, width, mean, std).astype(np.float32).ravel())
+                    image.append(k)
+                    crop.append(j)
+                    held += data[-1].nbytes
+                    if held >= AT_ONCE:
+                        yield rows()
+                        image, crop, data, held = [], [], [], 0
+            if data:
+                yield rows()
+
+    return images.mapInArrow(run, ", ".join(kinds) + ", data array<float>")

@@ -47,12 +47,18 @@ def decode_ctc(values: Column, steps: int, classes: int, dictionary: list[str],
     valid = F.lit(steps) if content_width is None else valid_steps(content_width, input_width, steps)
     rows = F.transform(F.sequence(F.lit(0), valid - 1), lambda k: F.slice(values, k * classes + 1, F.lit(classes)))
     best = F.transform(rows, lambda r: F.struct(t.argmax_last(r).alias("c"), winning_probability(r, F.array_max(r)).alias("p")))
-    # the class before each step, blank before the first
-    with_before = F.transform(best, lambda x, i: F.struct(x["c"].alias("c"), x["p"].alias("p"), F.when(i == 0, 0).otherwise(F.get(best, i - 1)["c"]).alias("b")))
-    emitted = F.filter(with_before, lambda x: (x["c"] != 0) & (x["c"] != x["b"]))
-    text = F.array_join(F.transform(emitted, lambda x: F.get(tokens, x["c"] - 1)), "")
-    logs = F.transform(emitted, lambda x: F.ln(F.greatest(x["p"], F.lit(MIN_PROBABILITY))))
-    return F.struct(text.alias("text"), F.when(F.size(emitted) > 0, F.exp(t.mean(logs))).otherwise(0.0).alias("score"))
+
+    def finished(steps_: Column) -> Column:
+        # the class before each step, blank before the first
+        emitted = F.filter(steps_, lambda x, i: (x["c"] != 0) & (x["c"] != F.when(i == 0, 0).otherwise(F.get(steps_, i - 1)["c"])))
+        return t.let(emitted, summary)
+
+    def summary(emitted: Column) -> Column:
+        text = F.array_join(F.transform(emitted, lambda x: F.get(tokens, x["c"] - 1)), "")
+        logs = F.transform(emitted, lambda x: F.ln(F.greatest(x["p"], F.lit(MIN_PROBABILITY))))
+        return F.struct(text.alias("text"), F.when(F.size(emitted) > 0, F.exp(t.mean(logs))).otherwise(0.0).alias("score"))
+
+    return t.let(best, finished)
 
 
 def collapse_steps(steps: DataFrame, item: str = "item", step: str = "t", cls: str = "cls", value: str = "v") -> DataFrame:

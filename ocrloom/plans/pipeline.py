@@ -52,8 +52,10 @@ class OcrPipeline:
     def recognize(self, images: DataFrame, detections: DataFrame) -> DataFrame:
         """image_id, det_idx, polygon, detection_score, text, recognition_score."""
         batches = recognition_batches(detections).withColumnRenamed("batch_width", "input_width")
-        crops = batches.join(images.select("image_id", "width", "height", "pixels"), "image_id")
-        data = preprocess.prepared(crops.select("image_id", "det_idx", "polygon", "content_width", "input_width", "width", "height", "pixels"), geo.RECOGNIZER_INPUT_HEIGHT, preprocess.RECOGNIZER_MEAN, preprocess.RECOGNIZER_STD)
+        # an image's crops come to it as an array, at most as long as the detector's max_boxes; its pixels are there once
+        crops = batches.groupBy("image_id").agg(F.collect_list(F.struct("det_idx", "polygon", "content_width", "input_width")).alias("crops"))
+        wanted = images.select("image_id", "width", "height", "pixels").join(crops, "image_id")
+        data = preprocess.prepared_crops(wanted, geo.RECOGNIZER_INPUT_HEIGHT, preprocess.RECOGNIZER_MEAN, preprocess.RECOGNIZER_STD)
         values = self.recognizer(data).select("image_id", "det_idx", "values")
         decoded = decode_ctc(F.col("values"), self.steps, self.classes, self.dictionary, F.col("content_width"), F.col("input_width"))
         return batches.join(values, ["image_id", "det_idx"]).withColumn("d", decoded).select("image_id", "det_idx", "polygon", F.col("score").alias("detection_score"), F.col("d.text").alias("text"), F.col("d.score").alias("recognition_score"))

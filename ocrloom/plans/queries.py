@@ -59,14 +59,14 @@ _elementwise("batch_norm", lambda x: t.batch_norm(x, 0.1, 0.5, 1.5, -0.2), "v *
 def _broadcast(name: str, op: Callable[[Column, Column], Column], sql: str) -> None:
     """A [8, 8] tensor with a row of 8 behind it, as trailing dimensions broadcast: the row is the tensor's first, plus 2."""
     QUERIES[name] = lambda spark, sf: exploded(vectors(spark, sf), t.broadcasted(F.col("a"), F.transform(F.slice("a", 1, 8), lambda x: x + 2), op))
-    ORACLES[name] = f"with {EMB} select l.vec_id, l.idx, {r6(sql)} as v from emb l join emb r on l.vec_id = r.vec_id and r.idx = l.idx % 8"
+    ORACLES[name] = f"with l as (select vec_id, i - 1 as idx, cast(embedding[i] as double) as v, cast(embedding[1 + (i - 1) % 8] as double) as w from embeddings, range(1, 65) t(i)) select vec_id, idx, {r6(sql)} as v from l"
 
 
-_broadcast("broadcast_add", lambda a, b: a + b, "l.v + (r.v + 2)")
-_broadcast("broadcast_sub", lambda a, b: a - b, "l.v - (r.v + 2)")
-_broadcast("broadcast_mul", lambda a, b: a * b, "l.v * (r.v + 2)")
-_broadcast("broadcast_div", lambda a, b: a / b, "l.v / (r.v + 2)")
-_broadcast("broadcast_pow", lambda a, b: F.pow(F.abs(a), b), "pow(abs(l.v), r.v + 2)")
+_broadcast("broadcast_add", lambda a, b: a + b, "v + (w + 2)")
+_broadcast("broadcast_sub", lambda a, b: a - b, "v - (w + 2)")
+_broadcast("broadcast_mul", lambda a, b: a * b, "v * (w + 2)")
+_broadcast("broadcast_div", lambda a, b: a / b, "v / (w + 2)")
+_broadcast("broadcast_pow", lambda a, b: F.pow(F.abs(a), b), "pow(abs(v), w + 2)")
 
 
 @query(f"with {EMB}, g as (select vec_id, max(v) as m from emb group by vec_id), e as (select vec_id, idx, exp(v - m) as x from emb join g using (vec_id)), s as (select vec_id, sum(x) as s from e group by vec_id) select vec_id, idx, {r6('x / s')} as v from e join s using (vec_id)")
@@ -99,6 +99,15 @@ def matmul(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.matmul(F.col("a"), F.col("a"), 8, 8, 8))
 
 
+_MATMUL = "mm as (select a.vec_id, (a.idx // 8) * 8 + b.idx % 8 as idx, sum(a.v * b.v) as v from emb a join emb b on a.vec_id = b.vec_id and a.idx % 8 = b.idx // 8 group by all)"
+
+
+@query(f"with {EMB}, {_MATMUL}, x as (select mm.vec_id, mm.idx, mm.idx // 8 as r, mm.v + b.v as v from mm join (select vec_id, idx as j, v from emb where idx < 8) b on b.vec_id = mm.vec_id and b.j = mm.idx % 8), e as (select vec_id, r, idx, exp(v - max(v) over (partition by vec_id, r)) as p from x) select vec_id, idx, {r6('p / sum(p) over (partition by vec_id, r)')} as v from e")
+def matmul_bias_softmax(spark: SparkSession, sf: str) -> DataFrame:
+    a = F.col("a")
+    return exploded(vectors(spark, sf), t.matmul_bias_softmax(a, a, F.slice(a, 1, 8), 8, 8, 8))
+
+
 _W = [[((o * 7 + k * 3) % 11 - 5) / 10 for k in range(8)] for o in range(4)]
 _B = [o / 10 for o in range(4)]
 _LINEAR = f"{EMB}, lin as (select vec_id, o, sum(v * ((o * 7 + (idx) * 3) % 11 - 5) / 10e0) + max(o) / 10e0 as y from emb, range(4) q(o) where idx < 8 group by vec_id, o)"
@@ -124,6 +133,18 @@ def transpose(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.transpose(F.col("a"), 4, 16))
 
 
+@query(f"with {EMB} select vec_id, (idx % 4) * 16 + (idx // 16) * 4 + (idx // 4) % 4 as idx, {r6('v')} as v from emb")
+def permute(spark: SparkSession, sf: str) -> DataFrame:
+    """A tensor [4, 4, 4] with its last axis first."""
+    return exploded(vectors(spark, sf), t.permute(F.col("a"), (4, 4, 4), (2, 0, 1)))
+
+
+@query(f"with {EMB}, qk as (select q.vec_id, q.idx // 4 as a, (k.idx - 16) // 4 as b, q.idx % 4 // 2 as h, sum(q.v * k.v) / sqrt(2e0) as s from emb q join emb k on q.vec_id = k.vec_id and q.idx < 16 and k.idx >= 16 and k.idx < 32 and q.idx % 4 = k.idx % 4 group by all), e as (select *, exp(s - max(s) over (partition by vec_id, a, h)) as x from qk), p as (select *, x / sum(x) over (partition by vec_id, a, h) as p from e) select p.vec_id, p.a * 4 + w.idx % 4 as idx, {r6('sum(p * w.v)')} as v from p join emb w on w.vec_id = p.vec_id and w.idx >= 32 and w.idx < 48 and (w.idx - 32) // 4 = p.b and w.idx % 4 // 2 = p.h group by all")
+def attention_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two heads of width 2 side by side, four tokens."""
+    return exploded(vectors(spark, sf), t.attention(F.slice("a", 1, 16), F.slice("a", 17, 16), F.slice("a", 33, 16), 4, 2, 2))
+
+
 @query(f"with {EMB} select vec_id, (idx - 8) // 2 as idx, {r6('v')} as v from emb where idx >= 8 and idx < 40 and idx % 2 = 0")
 def slice_steps(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), F.filter(F.slice("a", 9, 32), lambda x, i: i % 2 == 0))
@@ -151,11 +172,26 @@ def conv2d_same(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.conv2d([F.col("a")], [_K], 0.25, 8, 8, pads=(1, 1, 1, 1)))
 
 
-@query(f"with {EMB} select e.vec_id, e.idx // 8 * 6 + e.idx % 8 as idx, {r6('e.v * 1e0 + f.v * 2e0 + g.v * 3e0')} as v from emb e join emb f on e.vec_id = f.vec_id and f.idx = e.idx + 1 join emb g on e.vec_id = g.vec_id and g.idx = e.idx + 2 where e.idx % 8 < 6")
+_TRIPLES = "tr as (select vec_id, i - 1 as idx, cast(embedding[i] as double) as a, cast(embedding[i + 1] as double) as b, cast(embedding[i + 2] as double) as c from embeddings, range(1, 65) t(i) where (i - 1) % 8 < 6)"
+
+
+@query(f"with {_TRIPLES} select vec_id, idx // 8 * 6 + idx % 8 as idx, {r6('a * 1e0 + b * 2e0 + c * 3e0')} as v from tr")
 def conv2d_unfold(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.conv2d([F.col("a")], [[[1.0, 2.0, 3.0]]], 0.0, 8, 8))
 
 
+def _activated(name: str, f: Callable[[Column], Column], sql: str) -> None:
+    """Two output channels over two planes of 8 by 4, kernels of 3 by 3, the activation behind the bias."""
+    weights = [[[[w * (o + 1) / (c + 1) for w in row] for row in _K] for c in range(2)] for o in range(2)]
+    QUERIES[name] = lambda spark, sf: exploded(vectors(spark, sf), t.conv2d_layer(F.col("a"), weights, [0.25, -0.5], 4, 8, (1, 1), (1, 1, 1, 1), f))
+    ORACLES[name] = f"with {EMB}, {_K_SQL}, g as (select vec_id, o, y, x from (select distinct vec_id from emb), range(2) r(o), range(4) a(y), range(8) b(x)), s as (select g.vec_id, g.o * 32 + g.y * 8 + g.x as idx, case when g.o = 0 then 0.25e0 else -0.5e0 end + sum(coalesce(e.v, 0) * (k.w * (g.o + 1) / (c.c + 1))) as v from g cross join k cross join range(2) c(c) left join emb e on e.vec_id = g.vec_id and e.idx // 32 = c.c and e.idx % 32 // 8 = g.y + ky - 1 and e.idx % 8 = g.x + kx - 1 group by g.vec_id, g.o, g.y, g.x) select vec_id, idx, {r6(sql)} as v from s"
+
+
+_activated("conv2d_relu", t.relu, "greatest(v, 0e0)")
+_activated("conv2d_silu", t.silu, "v / (1 + exp(-v))")
+_activated("conv2d_gelu", t.gelu, f"0.5e0 * v * (1 + {_erf_sql('(v * 0.7071067811865476e0)')})")
+
+
 @query(f"with {EMB}, {_K_SQL}, g as (select vec_id, c, y, x from (select distinct vec_id from emb), range(4) c(c), range(2) a(y), range(2) b(x)) select g.vec_id, g.c * 4 + g.y * 2 + g.x as idx, {r6('greatest(sum(coalesce(e.v, 0) * k.w * (c + 1)), 0e0)')} as v from g cross join k left join emb e on e.vec_id = g.vec_id and e.idx // 16 = c and (e.idx % 16) // 4 = g.y * 2 + ky - 1 and e.idx % 4 = g.x * 2 + kx - 1 and g.y * 2 + kx >= 0 group by g.vec_id, g.c, g.y, g.x")
 def depthwise_conv(spark: SparkSession, sf: str) -> DataFrame:
     """Four channels of 4 by 4, each with its own kernel, stride 2, ReLU behind it."""
@@ -184,7 +220,7 @@ def nearest_resize(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.resize_nearest(F.col("a"), 8, 8, 12, 12))
 
 
-@query(f"with {EMB} select l.vec_id, l.idx, {r6('l.v + s.v')} as v from emb l join emb s on s.vec_id = l.vec_id and s.idx < 16 and s.idx // 4 = l.idx // 8 // 2 and s.idx % 4 = l.idx % 8 // 2")
+@query(f"select vec_id, i - 1 as idx, {r6('cast(embedding[i] as double) + cast(embedding[1 + (i - 1) // 8 // 2 * 4 + (i - 1) % 8 // 2] as double)')} as v from embeddings, range(1, 65) t(i)")
 def upsample_add(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.upsample_add(F.slice("a", 1, 16), F.col("a"), 4, 4, 2))
 
@@ -207,7 +243,7 @@ def residual_mul(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(vectors(spark, sf), t.let(gates, lambda g: F.transform("a", lambda x, i: x * F.get(g, F.floor(i / 16).cast("int")) + x)))
 
 
-@query(f"with {EMB} select e.vec_id, e.idx // 8 * 6 + e.idx % 8 as idx, {r6('((e.v + f.v * 2 + g.v * 3) + 0.5e0 - 0.1e0) * (1.5e0 / sqrt(0.5e0 + 0.00001e0)) - 0.2e0')} as v from emb e join emb f on e.vec_id = f.vec_id and f.idx = e.idx + 1 join emb g on e.vec_id = g.vec_id and g.idx = e.idx + 2 where e.idx % 8 < 6")
+@query(f"with {_TRIPLES} select vec_id, idx // 8 * 6 + idx % 8 as idx, {r6('((a + b * 2 + c * 3) + 0.5e0 - 0.1e0) * (1.5e0 / sqrt(0.5e0 + 0.00001e0)) - 0.2e0')} as v from tr")
 def bn_folded_conv(spark: SparkSession, sf: str) -> DataFrame:
     """A convolution with its normalisation folded in gives what the two give one after the other."""
     weights, bias = t.folded_batch_norm([1.0, 2.0, 3.0], 0.5, 0.1, 0.5, 1.5, -0.2)
@@ -225,6 +261,13 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return detections.labelled_pixels(_heatmaps(spark, sf), HEAT_THRESHOLD)
 
 
+@query("select vec_id as image_id, case when vec_id % 7 = 3 then 'shape' when vec_id % 11 = 5 then 'not finite' end as problem from embeddings")
+def heatmap_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Heatmaps of which some lack a value and some hold one that is no number."""
+    maps = _heatmaps(spark, sf).withColumn("values", F.when(F.col("image_id") % 7 == 3, F.slice("values", 1, 63)).when(F.col("image_id") % 11 == 5, F.concat(F.slice("values", 1, 63), F.array(F.lit(float("nan"))))).otherwise(F.col("values")))
+    return maps.select("image_id", detections.heatmap_problem(F.col("values"), F.col("width"), F.col("height")).alias("problem"))
+
+
 _LABELS = f"{EMB}, {HEAT}, reach(image_id, x, y, l) as (select image_id, x, y, y * 8 + x from px union select p.image_id, p.x, p.y, r.l from reach r join px p on p.image_id = r.image_id and abs(p.x - r.x) <= 1 and abs(p.y - r.y) <= 1 where r.l < p.y * 8 + p.x), lab as (select image_id, x, y, min(l) as label from reach group by all), lp as (select lab.*, v from lab join px using (image_id, x, y))"
 
 
@@ -245,7 +288,8 @@ _MOMENTS = "mo as (select image_id, label, count(*) as n, avg(v) as score, cast(
 
 @query(f"with recursive {_LABELS}, {_MOMENTS} select image_id, label, n, {r6('score')} as score, sx, sy, sxx, sxy, syy from mo")
 def component_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return detections.component_moments(_labelled(spark, sf)).withColumn("score", rounded(F.col("score")))
+    found = detections.components_of(_heatmaps(spark, sf), HEAT_THRESHOLD)
+    return found.select("image_id", "label", "n", rounded(F.col("score")).alias("score"), "sx", "sy", "sxx", "sxy", "syy")
 
 
 _BOX = """ax as (select *, sx / n + 0.5e0 as cx, sy / n + 0.5e0 as cy, 0.5e0 * atan2(cast(2 * (n * sxy - sx * sy) as double), cast((n * sxx - sx * sx) - (n * syy - sy * sy) as double)) as g from mo where n >= 3 and score >= 0.1),
@@ -259,6 +303,7 @@ _OPTIONS = detections.DetectionOptions(binary_threshold=HEAT_THRESHOLD, box_thre
 
 @query(f"with recursive {_LABELS}, {_MOMENTS}, {_BOX} select image_id, label, n, {r6('score')} as score, k, {r6('x')} as x, {r6('y')} as y from box")
 def rotated_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """From a table of labelled pixels; extract_detections has the same boxes from one pass over each image."""
     found = detections.rotated_boxes(_labelled(spark, sf), _OPTIONS)
     return found.select("image_id", "label", "n", rounded(F.col("score")).alias("score"), F.posexplode("polygon").alias("k", "p")).select("image_id", "label", "n", "score", "k", rounded(F.col("p")[0]).alias("x"), rounded(F.col("p")[1]).alias("y"))
 
@@ -266,7 +311,7 @@ def rotated_boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with recursive {_LABELS}, {_MOMENTS}, {_BOX}, src as (select image_id, label, score, k, least(greatest(x * 640 / 8, 0e0), 640e0) as x, least(greatest(y * 480 / 8, 0e0), 480e0) as y from box), ctr as (select image_id, label, score, round(avg(x), 9) as mx, round(avg(y), 9) as my from src group by all), best as (select *, row_number() over (partition by image_id order by score desc, my, mx, label) as r from ctr) select image_id, label, {r6('score')} as score, {r6('mx')} as center_x, {r6('my')} as center_y from best where r <= 2")
 def extract_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Heatmaps to the two best boxes of each image, in source coordinates of 640 by 480."""
-    boxes_ = detections.rotated_boxes(_labelled(spark, sf), _OPTIONS)
+    boxes_ = detections.boxed(detections.components_of(_heatmaps(spark, sf), HEAT_THRESHOLD), _OPTIONS)
     mapped = detections.mapped_to_source(boxes_, F.lit(640), F.lit(480), F.lit(8), F.lit(8))
     found = detections.best_in_reading_order(mapped, 2)
     # centres are quotients: rounded to nine digits first, as in the SQL, they round alike at a half of the sixth
@@ -351,20 +396,29 @@ def ctc_decode_padded(spark: SparkSession, sf: str) -> DataFrame:
 _OVERLAP = "coalesce(list_max(list_filter(range(1, least(length({a}), length({b}), 32) + 1), lambda k: right({a}, k) = left({b}, k))), 0)"
 
 
-@query(f"select doc_id, {_OVERLAP.format(a='substring(text, 1, 60)', b='substring(text, 41, 60)')} as shared from documents")
+#: Whole texts in pieces of 60 characters, 40 apart; behind a piece of 60 the joined text ends with that piece, so SQL needs no recursion.
+_PIECES = "n as (select doc_id, coalesce(text, '') as text, greatest(ceil((length(coalesce(text, '')) - 60) / 40), 0)::bigint as last from documents), p as (select doc_id, o, substring(text, o * 40 + 1, 60) as b, case when o > 0 then substring(text, o * 40 - 39, 60) else '' end as a from (select *, unnest(range(0, last + 1)) as o from n)), s as (select doc_id, o, b, " + _OVERLAP.format(a="a", b="b") + " as shared from p)"
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", txt.pieces(F.coalesce("text", F.lit("")), 60, 40).alias("p"))
+
+
+@query(f"with {_PIECES} select doc_id, o, shared from s")
 def overlap_length(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", txt.overlap(F.substring(text, 1, 60), F.substring(text, 41, 60)).cast("long").alias("shared"))
+    """Characters that each piece of a text shares with the one before it."""
+    shared = F.transform("p", lambda x, i: F.when(i > 0, txt.overlap(F.get(F.col("p"), i - 1), x)).otherwise(0).cast("long"))
+    return _pieces(spark, sf).select("doc_id", F.posexplode(shared).alias("o", "shared")).withColumn("o", F.col("o").cast("long"))
 
 
-@query(f"with p as (select doc_id, substring(text, 1, 60) as a, substring(text, 41, 60) as b from documents), o as (select *, {_OVERLAP.format(a='a', b='b')} as k from p), q as (select doc_id, a || substring(b, k + 1) as text, length(a) as na, length(b) - k as nb from o) select doc_id, text, {r6('case when na + nb > 0 then (0.5e0 * na + 0.8e0 * nb) / (na + nb) else 0 end')} as score from q")
+@query(f"with {_PIECES}, w as (select *, length(b) - shared as n, case when o % 2 = 0 then 0.5e0 else 0.8e0 end as score from s) select doc_id, string_agg(substring(b, shared + 1), '' order by o) as text, {r6('case when sum(n) > 0 then sum(score * n) / sum(n) else 0 end')} as score from w group by doc_id")
 def overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.col("text")
-    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(F.array(F.struct(F.substring(text, 1, 60).alias("text"), F.lit(0.5).alias("score")), F.struct(F.substring(text, 41, 60).alias("text"), F.lit(0.8).alias("score")))).alias("o", "p"))
-    return recognition.join_decoded(parts.select("doc_id", "o", "p.text", "p.score"), "doc_id", "o").withColumn("score", rounded(F.col("score")))
+    """Whole texts put together again from overlapping pieces."""
+    parts = _pieces(spark, sf).select("doc_id", F.posexplode("p").alias("o", "text")).withColumn("score", F.when(F.col("o") % 2 == 0, 0.5).otherwise(0.8))
+    return recognition.join_decoded(parts, "doc_id", "o").withColumn("score", rounded(F.col("score")))
 
 
-_FOLD = """with recursive c as (select conv_id, row_number() over (partition by conv_id order by turn, text) as r, substring(text, 1, 30) as part, 1e0 / (1 + turn) as score from conversations),
+_FOLD = """with recursive c as (select conv_id, row_number() over (partition by conv_id order by turn, text) as r, text as part, 1e0 / (1 + turn) as score from conversations),
 f(conv_id, r, text, s, n) as (select conv_id, 0::bigint, '', 0e0, 0::bigint from (select distinct conv_id from c) union all
 select f.conv_id, c.r, f.text || substring(c.part, OV + 1), f.s + c.score * (length(c.part) - OV), f.n + length(c.part) - OV from f join c on c.conv_id = f.conv_id and c.r = f.r + 1)
 select conv_id, text, SC as score from (select *, row_number() over (partition by conv_id order by r desc) as last from f) where last = 1""".replace("OV", _OVERLAP.format(a="f.text", b="c.part")).replace("SC", r6("case when n > 0 then s / n else 0 end"))
@@ -373,7 +427,7 @@ select conv_id, text, SC as score from (select *, row_number() over (partition b
 @query(_FOLD)
 def join_decoded_fold(spark: SparkSession, sf: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    parts = table(spark, sf, "conversations").select("conv_id", order.alias("o"), F.substring("text", 1, 30).alias("text"), (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
+    parts = table(spark, sf, "conversations").select("conv_id", order.alias("o"), "text", (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
     return recognition.join_decoded(parts, "conv_id", "o").withColumn("score", rounded(F.col("score")))
 
 
@@ -435,6 +489,14 @@ def offline_status(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.cache_status(assets, assets.select("name", "file", F.when(F.col("doc_id") % 50 == 7, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("length")), marks)
 
 
+@query("select 'model-' || (doc_id // 10) as name, 'file-' || doc_id as file, case when doc_id % 50 <> 7 and doc_id % 60 <> 1 then '/models/model-' || (doc_id // 10) || '/file-' || doc_id end as path from documents")
+def resolve_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the catalog against a listing that lacks some and has some with another length."""
+    assets = _assets(spark, sf)
+    listing = assets.where("doc_id % 50 <> 7").select("name", "file", F.when(F.col("doc_id") % 60 == 1, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("length"))
+    return catalog.resolved(catalog.model_root("/", "/models"), assets, listing)
+
+
 @query("select doc_id, '/models/model-' || (doc_id // 10) || '/file-' || doc_id as path from documents")
 def asset_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _assets(spark, sf).select("doc_id", catalog.asset_path("/models/", F.col("name"), F.col("file")).alias("path"))
@@ -512,13 +574,14 @@ def bilinear_quad_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of images: boxes with the decoded text of a vector each."""
-    texts = vectors(spark, sf).select("vec_id", recognition.decode_ctc(F.col("a"), 16, 4, ["a", "b", "c"]).alias("d"))
-    lines = boxes(spark, sf).where("det_idx <= 5").join(texts, (F.col("image_id") * 5 + F.col("det_idx")) % 500 == F.col("vec_id"))
+    """Lines of images: all their boxes, each with the decoded text of a vector."""
+    given = vectors(spark, sf)
+    texts = given.select("vec_id", recognition.decode_ctc(F.col("a"), 16, 4, ["a", "b", "c"]).alias("d"))
+    lines = boxes(spark, sf).withColumn("vec_id", (F.col("image_id") * 5 + F.col("det_idx")) % given.count()).join(texts, "vec_id")
     return recognition.assembled(lines.select("image_id", "det_idx", "polygon", F.col("score").alias("detection_score"), F.col("d.text").alias("text"), F.round("d.score", 6).alias("recognition_score")))
 
 
-_LINES = f"{BOXES}, {_decode_sql('16', str(['a', 'b', 'c'])).removeprefix('with ').replace('select e.vec_id, coalesce', 'tx as (select e.vec_id, coalesce', 1)}), ln as (select image_id, det_idx, text, tx.score as rs from boxes join tx on (image_id * 5 + det_idx) % 500 = vec_id where det_idx <= 5)"
+_LINES = f"{BOXES}, {_decode_sql('16', str(['a', 'b', 'c'])).removeprefix('with ').replace('select e.vec_id, coalesce', 'tx as (select e.vec_id, coalesce', 1)}), ln as (select image_id, det_idx, text, tx.score as rs from boxes join tx on (image_id * 5 + det_idx) % (select count(*) from embeddings) = vec_id)"
 _LINES = _LINES.replace("group by vec_id) tx as", "group by vec_id), tx as")
 
 

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions.text import yaml_scalar
 from ..operators.catalog import catalog_files
@@ -111,7 +112,9 @@ class TensorFiles(DataSource):
     """spark.read.format("tensorfile").load(path): name, dtype, shape, data of the tensors in files with a JSON header.
 
     A file begins with the header's length (8 bytes, little-endian), the JSON header, then the data. One partition reads one
-    tensor. Only 32-bit floats are accepted. Paths are those that executors see as files.
+    tensor. Only 32-bit floats are accepted. Paths are those that executors see as files. With option("prefix", "backbone.conv1")
+    only tensors of that name, or below it, are read; with option("pushdown", True), where the session has
+    spark.sql.python.filterPushdown.enabled, filters on name (equal, or a prefix) do the same.
     """
 
     @classmethod
@@ -122,7 +125,8 @@ class TensorFiles(DataSource):
         return "path string, name string, dtype string, shape array<int>, data array<float>"
 
     def reader(self, schema: object) -> TensorReader:
-        return TensorReader(self.options["path"])
+        kind = FilteredTensorReader if self.options.get("pushdown", "false").lower() == "true" else TensorReader
+        return kind(self.options["path"], self.options.get("prefix", ""))
 
 
 class TensorPart(InputPartition):
@@ -131,8 +135,11 @@ class TensorPart(InputPartition):
 
 
 class TensorReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://").removeprefix("file:")
+    def __init__(self, path: str, prefix: str = ""):
+        self.path, self.prefix = path.removeprefix("file://").removeprefix("file:"), prefix
+
+    def wanted(self, name: str) -> bool:
+        return not self.prefix or name == self.prefix or name.startswith(self.prefix + ".")
 
     def partitions(self) -> list[InputPartition]:
         import glob
@@ -143,7 +150,7 @@ class TensorReader(DataSourceReader):
             with open(path, "rb") as f:
                 (size,) = struct.unpack("<Q", f.read(8))
                 header = json.loads(f.read(size))
-            found += [TensorPart(path, name, entry, 8 + size) for name, entry in header.items() if name != "__metadata__"]
+            found += [TensorPart(path, name, entry, 8 + size) for name, entry in header.items() if name != "__metadata__" and self.wanted(name)]
         return found
 
     def read(self, part: TensorPart) -> Iterator[tuple]:
@@ -160,6 +167,81 @@ class TensorReader(DataSourceReader):
         yield part.path, part.name, part.entry["dtype"], [int(n) for n in shape], np.frombuffer(raw, "<f4").tolist()
 
 
+class FilteredTensorReader(TensorReader):
+    def __init__(self, path: str, prefix: str = ""):
+        super().__init__(path, prefix)
+        self.names: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo | StringStartsWith) and f.attribute == ("name",):
+                self.names.append(f)
+            else:
+                yield f
+
+    def wanted(self, name: str) -> bool:
+        return super().wanted(name) and all(name == f.value if isinstance(f, EqualTo) else name.startswith(f.value) for f in self.names)
+
+
+class FloatFiles(DataSource):
+    """df.write.format("floatfile").save(path): a column `value` as files of little-endian 32-bit floats, one for each
+    partition that has rows, in the partition's order. Paths are those that executors see as files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "floatfile"
+
+    def schema(self) -> str:
+        return "value float"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FloatWriter:
+        if "value" not in schema.names:
+            raise ValueError("floats are written from a column named value")
+        return FloatWriter(self.options["path"])
+
+
+class FloatsWritten(WriterCommitMessage):
+    def __init__(self, written: str | None, wanted: str | None):
+        self.written, self.wanted = written, wanted
+
+
+class FloatWriter(DataSourceWriter):
+    """A task writes under a name of its own attempt; the commit gives files their names, so a lost task leaves none behind."""
+
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://").removeprefix("file:")
+
+    def write(self, rows: Iterator) -> FloatsWritten:
+        import os
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        os.makedirs(self.path, exist_ok=True)
+        own = os.path.join(self.path, f".attempt-{context.partitionId()}-{context.taskAttemptId()}")
+        n = 0
+        with open(own, "wb") as f:
+            while block := [r["value"] for _, r in zip(range(1 << 16), rows, strict=False)]:
+                n += len(block)
+                f.write(np.array(block, "<f4").tobytes())
+        return FloatsWritten(own, os.path.join(self.path, f"part-{context.partitionId():05d}.f32") if n else None)
+
+    def commit(self, messages: list[FloatsWritten | None]) -> None:
+        import os
+
+        for m in messages:
+            if m is not None:
+                os.replace(m.written, m.wanted) if m.wanted else os.remove(m.written)
+
+    def abort(self, messages: list[FloatsWritten | None]) -> None:
+        import os
+
+        for m in messages:
+            if m is not None:
+                os.remove(m.written)
+
+
 def write_results(results: DataFrame, path: str, how: str = "json") -> None:
     """Results as JSON rows, or as text: the lines' texts, one below the other."""
     from ..functions.text import result_text

@@ -30,16 +30,33 @@ def rectangle(x0, y0, x1, y1):
     return F.array(*[array(p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
 
 
-def test_one_box_in_a_heatmap(spark):
-    values = [0.0] * (416 * 736)
-    for y in (20, 21):
-        for x in range(10, 14):
-            values[y * 736 + x] = 0.9
-    heat = spark.createDataFrame([(1, 736, 416, values, 736, 416, 736, 416)], "image_id long, width int, height int, values array<double>, source_width int, source_height int, content_width int, content_height int")
-    found = detections.extract_detections(heat, detections.DetectionOptions(min_area=4, unclip_ratio=1.0)).collect()
-    assert len(found) == 1
-    assert found[0]["score"] == pytest.approx(0.9, abs=1e-6)
-    assert found[0]["polygon"][0][0] == pytest.approx(10.0, abs=1e-4)
+def test_boxes_of_two_bars(spark):
+    """An upright and a lying bar in a small map, one below the least area beside them, mapped to an image twice as large."""
+    w, h = 40, 30
+    values = np.zeros((h, w))
+    values[5:15, 3:6], values[20:22, 10:30], values[2, 35] = 0.8, 0.6, 1.0
+    heat = spark.createDataFrame([(7, w, h, values.ravel().tolist(), 80, 60, w, h)], "image_id long, width int, height int, values array<double>, source_width int, source_height int, content_width int, content_height int")
+    found = detections.extract_detections(heat, detections.DetectionOptions(min_area=2, unclip_ratio=1.0)).orderBy("det_idx").collect()
+    assert [r["score"] for r in found] == pytest.approx([0.8, 0.6])
+    edges = [[min(p[c] for p in r["polygon"]) for c in (0, 1)] + [max(p[c] for p in r["polygon"]) for c in (0, 1)] for r in found]
+    assert edges[0] == pytest.approx([6, 10, 12, 30]) and edges[1] == pytest.approx([20, 40, 60, 44])
+
+
+def test_labels_of_random_planes(spark):
+    """Labels, moments and boxes from one pass over an image against the relations over pixels."""
+    rng = np.random.default_rng(5)
+    rows = [(k, 13, 9, (rng.random(117) * (rng.random(117) < 0.45)).tolist()) for k in range(12)]
+    heat = spark.createDataFrame([*rows, (99, 2, 1, [0.0, 0.0])], "image_id long, width int, height int, values array<double>")
+    pixels = detections.active_pixels(heat, 0.3)
+    relational = detections.label_components(pixels)
+    key = lambda df: sorted((r["image_id"], r["x"], r["y"], r["label"]) for r in df.collect())
+    assert key(relational) == key(detections.labelled_pixels(heat, 0.3))
+    options = detections.DetectionOptions(binary_threshold=0.3, box_threshold=0.1, min_area=2)
+    flat = lambda df: {(r["image_id"], r["label"]): [r["n"], r["score"], *(v for p in r["polygon"] for v in p)] for r in df.collect()}
+    a, b = flat(detections.rotated_boxes(relational, options)), flat(detections.boxed(detections.components_of(heat, 0.3), options))
+    assert a.keys() == b.keys() and len(a) > 20
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
 
 
 def test_components_touch_at_corners_and_keep_apart_across_a_gap(spark):
@@ -194,6 +211,126 @@ def test_tensor_files(spark, tmp_path):
         spark.read.format("tensorfile").load(str(tmp_path)).collect()
 
 
+def test_tensors_below_a_name(spark, tmp_path):
+    spark.dataSource.register(readers.TensorFiles)
+    tensor_file(tmp_path / "x.safetensors", {"net.a.weight": ("F32", [1], [1]), "net.a.bias": ("F32", [1], [2]), "net.ab": ("F16", [1], [3]), "other": ("F16", [1], [4])})
+    read = lambda **o: {r["name"]: r["data"] for r in spark.read.format("tensorfile").options(**o).load(str(tmp_path)).collect()}
+    assert read(prefix="net.a") == {"net.a.weight": [1.0], "net.a.bias": [2.0]}  # tensors of another kind elsewhere aren't read
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        given = spark.read.format("tensorfile").option("pushdown", True).load(str(tmp_path))
+        assert given.where("name like 'net.a.%'").count() == 2 and given.where("name = 'net.a.bias'").first()["data"] == [2.0]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_floats_are_written(spark, tmp_path):
+    spark.dataSource.register(readers.FloatFiles)
+    values = [0.5, -1.25, 3e38, 1e-40, 7.0]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value float").orderBy("k")
+    rows.select("value").coalesce(1).write.format("floatfile").mode("append").save(str(tmp_path / "out"))
+    (name,) = [p for p in (tmp_path / "out").iterdir()]
+    assert name.name == "part-00000.f32" and name.read_bytes() == np.array(values, "<f4").tobytes()
+    assert readers.read_raw_floats(spark, str(name), 5).count() == 5
+
+
+def test_jpeg_grey_and_alpha_images(spark, tmp_path):
+    """Images written by Java's codecs: a JPEG of one colour, 8 and 16 bit grey, a palette, and one with alpha."""
+    java, jvm = spark._jvm.java, spark._jvm
+    kind = jvm.java.awt.image.BufferedImage
+    for name, form, how in (("a.jpg", "jpg", kind.TYPE_INT_RGB), ("b.png", "png", kind.TYPE_BYTE_GRAY), ("c.png", "png", kind.TYPE_INT_ARGB), ("d.png", "png", kind.TYPE_USHORT_GRAY), ("e.png", "png", kind.TYPE_BYTE_INDEXED)):
+        image = kind(8, 6, how)
+        for y in range(6):
+            for x in range(8):
+                image.setRGB(x, y, -0xFFFFFF - 1 + 0x3366CC if how != kind.TYPE_BYTE_INDEXED else -0xFFFFFF - 1 + 0x3366CC)
+        jvm.javax.imageio.ImageIO.write(image, form, java.io.File(str(tmp_path / name)))
+    rows = {r["image_id"].rsplit("/", 1)[-1]: r for r in readers.read_images(spark, str(tmp_path), fail_fast=False).collect()}
+    assert len(rows) == 5
+    for name in ("a.jpg", "c.png"):
+        b, g, r = rows[name]["pixels"][:3]
+        assert abs(b - 0xCC) < 4 and abs(g - 0x66) < 4 and abs(r - 0x33) < 4 and len(rows[name]["pixels"]) == 8 * 6 * 3
+    assert len(set(rows["b.png"]["pixels"])) == 1
+    for name in ("d.png", "e.png"):  # what the image source can't hand over as bytes of one, three or four channels is a row without pixels
+        assert rows[name]["pixels"] is None or len(rows[name]["pixels"]) == 8 * 6 * 3
+
+
+def test_paths_of_models(monkeypatch):
+    monkeypatch.delenv(catalog.ROOT_VARIABLE, raising=False)
+    assert catalog.model_root("/models/") == "/models" and catalog.model_root("/models", "/own/") == "/own"
+    monkeypatch.setenv(catalog.ROOT_VARIABLE, "/from/environment")
+    assert catalog.model_root("/models") == "/from/environment" and catalog.model_root("/models", "/own") == "/own"
+    assert catalog.dictionary_beside("/m/rec/inference.bin") == "/m/rec/inference.yml" and catalog.dictionary_beside("x") == "inference.yml"
+    assert catalog.dictionary_beside("/m/x", "/d.txt") == "/d.txt"
+
+
+def test_lookups_of_hot_keys(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, k) for k in range(2, 1500)] + [(None, 0), (9999, 0)], "k int, v int")
+    entries = spark.createDataFrame([(k, f"e{k}") for k in range(1500)], "k int, e string")
+    from ocrloom.operators import joins
+
+    assert {r["k"] for r in joins.hot_keys(rows, ["k"]).collect()} == {1}
+    got = joins.looked_up(rows, entries, ["k"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(entries, "k").collect()))
+
+
+def test_attention_heads_and_permutations(spark):
+    rng = np.random.default_rng(3)
+    q, k, v = (rng.normal(size=(5, 2 * 3)) for _ in range(3))
+    got = one(spark, t.attention(array(q.ravel()), array(k.ravel()), array(v.ravel()), 5, 3, 2))
+    wanted = np.zeros((5, 6))
+    for h in (slice(0, 3), slice(3, 6)):
+        s = q[:, h] @ k[:, h].T / math.sqrt(3)
+        p = np.exp(s - s.max(1, keepdims=True))
+        wanted[:, h] = p / p.sum(1, keepdims=True) @ v[:, h]
+    assert got == pytest.approx(wanted.ravel())
+    x = np.arange(24.0)
+    for axes in ((0, 1, 2), (2, 0, 1), (1, 2, 0), (2, 1, 0)):
+        assert one(spark, t.permute(array(x), (2, 3, 4), axes)) == x.reshape(2, 3, 4).transpose(axes).ravel().tolist()
+    with pytest.raises(ValueError):
+        t.permute(array(x), (2, 3, 4), (0, 0, 1))
+
+
+def test_the_flow_against_a_walk_over_images(spark):
+    """The flow with stand-ins for its models against plain loops over each image's own arrays."""
+    from ocrloom.plans import queries
+    from ocrloom.plans.pipeline import OcrPipeline, PipelineOptions
+
+    sf = "/root/testdata/sf0.001"
+    options = PipelineOptions(736, detections.DetectionOptions(binary_threshold=0.6, box_threshold=0.6))
+    images = queries._synthetic_images(spark, sf).where("image_id < 12")
+    rows = {r["image_id"]: r for r in OcrPipeline(queries._bright, queries._stripes, ["a", "b", "c"], 8, 4, options).transform(images).collect()}
+    for image in images.collect():
+        w, h = image["width"], image["height"]
+        pixels = np.frombuffer(image["pixels"], np.uint8).reshape(h, w, 3).astype(float)
+        row = rows[image["image_id"]]
+        iw, ih = row["detector_input_size"]
+        whole = np.array([[0, 0], [w, 0], [w, h], [0, h]], float)
+        plane = preprocess.canvas(pixels, whole, ih, iw, iw, preprocess.DETECTOR_MEAN, preprocess.DETECTOR_STD)[0].astype(np.float32).astype(float)
+        heat = 1 / (1 + np.exp(-plane))
+        seen, boxes = np.zeros(heat.shape, bool), []
+        for y0 in range(ih):
+            for x0 in range(iw):
+                if heat[y0, x0] >= 0.6 and not seen[y0, x0]:
+                    todo, cells = [(y0, x0)], []
+                    seen[y0, x0] = True
+                    while todo:
+                        y, x = todo.pop()
+                        cells.append((y, x))
+                        for v in range(max(0, y - 1), min(ih, y + 2)):
+                            for u in range(max(0, x - 1), min(iw, x + 2)):
+                                if heat[v, u] >= 0.6 and not seen[v, u]:
+                                    seen[v, u] = True
+                                    todo.append((v, u))
+                    if len(cells) >= options.detection.min_area and np.mean([heat[c] for c in cells]) >= 0.6:
+                        boxes.append((np.mean([heat[c] for c in cells]), len(cells)))
+        assert len(row["lines"]) == len(boxes)
+        assert sorted(x["detection_score"] for x in row["lines"]) == pytest.approx(sorted(b[0] for b in boxes))
+        for line in row["lines"]:
+            polygon = np.array([list(p) for p in line["polygon"]])
+            width = line["recognition_score"]
+            assert 0 <= width <= 1 and set(line["text"]) <= set("abc") and polygon.shape == (4, 2)
+
+
 def test_raw_floats(spark, tmp_path):
     values = [0.0, -1.5, 3.1415927, 1e-40, float("inf")]
     (tmp_path / "x.bin").write_bytes(np.array(values, "<f4").tobytes())
