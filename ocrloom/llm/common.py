@@ -12,6 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.joins import checkpoint_dir
+from ..operators.joins import cut_lineage as cut
+
+__all__ = ["WORD_PATTERN", "cut", "n_partitions", "new_path", "sliced", "split_words", "strings", "table", "trimmed", "written"]
+
 #: Any byte that is not white space: a word is a maximal run of these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -20,18 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Without one there is no place that they all see: an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,12 +36,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder, for small tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 Batches = Iterator[pa.RecordBatch]
 
 

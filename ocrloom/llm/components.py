@@ -1,27 +1,20 @@
-"""Connected components of a link table, by repeated joins."""
+"""Connected components of a link table, by repeated lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, label of every node of links (a, b): label is the smallest id reachable from it.
 
-    Each round a node takes the least label of its neighbours, and then the label of its label, so that long chains
-    halve; rounds end when no label moves. Every step is a join and a grouped minimum with partial sums before its
-    shuffle; a node of any number of links is no task's own. An empty table of links gives no rows.
+    A node of any number of links, and a label of any number of nodes, is no task's own: connected() looks up hot keys by
+    broadcasts of a bounded number of rows. An empty table of links gives no rows.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "id").select("id", F.least("label", "near").alias("to"), "label")
-        jump = moved.select(F.col("id").alias("to"), F.col("to").alias("over"))
-        new = cut(moved.join(jump, "to", "left").select("id", F.least("to", "over").alias("label"), (F.least("to", "over") != F.col("label")).alias("changed")))
-        labels = new.select("id", "label")
-        if new.where("changed").isEmpty():
-            return labels
+    both = cut(links.select(F.lit(0).alias("g"), "a", "b"))
+    nodes = both.select("g", F.col("a").alias("id")).unionByName(both.select("g", F.col("b").alias("id"))).distinct()
+    return connected(nodes, both).select("id", "label")

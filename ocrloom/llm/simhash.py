@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_partitions
+from ..operators.joins import looked_up
+from .common import cut, n_partitions, trimmed
 from .components import components
 
 SEED = 42
+#: Fingerprints of a shard; a larger one is split by more of its bits.
+MAX_SHARD = 20_000
 
 
 class BKTree:
@@ -46,12 +49,16 @@ class BKTree:
                     left.append(child)
 
 
-def shard_masks(radius: int, spare: int = 3) -> list[int]:
-    """Masks of which two fingerprints within radius share at least one: 64 bits in radius + spare blocks, spare of them equal."""
-    n = radius + spare
-    edges = [64 * k // n for k in range(n + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(blocks, spare)]
+def parts_of(bits: list[int], n: int) -> list[int]:
+    """Masks of n stretches that bits (places) fall into."""
+    edges = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << p for p in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def shard_masks(radius: int, spare: int = 3, within: int = 0) -> list[int]:
+    """Masks of which two fingerprints within radius share at least one: the bits outside `within`, on which they agree
+    already, in radius + spare blocks, spare of them equal."""
+    return [within | sum(x) for x in combinations(parts_of([p for p in range(64) if not within >> p & 1], radius + spare), spare)]
 
 
 def signed(x: int) -> int:
@@ -77,15 +84,20 @@ def fingerprint(words: list[bytes], size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of each row; ASCII letters in lower case, shingles of size words."""
+    """id, row (a hash of id and text) and fp (the 64 bits as a signed long) of each row; ASCII letters in lower case, shingles of size words."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [signed(fingerprint((x or "").encode().lower().split(), size)) for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = pa.array([signed(fingerprint((x or "").encode().lower().split(), size)) for x in batch.column("t").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("row"), fps], names=[id_col, "row", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col).alias("i"), row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, row long, fp long")
+
+
+def row_hash(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.lit("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -114,6 +126,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _linked(radius: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for run_ in _runs(batches):
@@ -142,18 +155,42 @@ def _linked(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def _sharded(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    keys = F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for m in masks])
+    return distinct.select("fp", F.explode(keys).alias("s")).select("s.mask", "s.key", "fp")
+
+
+def links(distinct: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints fp as all pairs within radius do: within a shard, a spanning forest of them.
 
-    Shards are not broadcast, because no bound of their size is proven: rows go to their shard instead. A shard holds the
-    fingerprints that agree on one choice of blocks; two within the radius agree on one choice at least, so no link is lost.
+    A shard holds the fingerprints that agree on one choice of blocks; two within the radius agree on one choice at least,
+    so no link is lost. A shard of more than max_shard is split the same way by the bits on which its members may differ:
+    of these 26 or so the parts leave 13 free, so a part has some 8,000 members at most, whatever the data. Rows go to
+    their shard, and the task that gets it builds its tree: shards are small, but all of them together have no bound that
+    would let them be broadcast.
     """
-    masks = [signed(m) for m in shard_masks(radius)]
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    rows = distinct.select("fp", F.explode(keys).alias("s")).select("s.mask", "s.key", "fp")
+    masks = shard_masks(radius)
+    rows = cut(_sharded(distinct, masks))
+    large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > max_shard).select("mask", "key"))
+    if not large.isEmpty():
+        split = [_sharded(rows.where(F.col("mask") == signed(m)).join(large, ["mask", "key"], "left_semi").select("fp"), shard_masks(radius, 2, m)) for m in masks]
+        rows = rows.join(large, ["mask", "key"], "left_anti")
+        for x in split:
+            rows = rows.unionByName(x)
     return rows.repartition(n_partitions(distinct.sparkSession), "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_linked(radius), "a long, b long")
 
 
+def _components(docs: DataFrame, radius: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """i, row, fp, component_id of each row of docs."""
+    fps = cut(fingerprints(docs, size, id_col, text_col).withColumnRenamed(id_col, "i"))
+    nodes = cut(fps.groupBy("fp").agg(F.min("i").alias("least")))
+    labels = components(links(nodes.select("fp"), radius))
+    of = cut(nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = cut(looked_up(of, smallest, ["label"]).select("fp", "component_id"))
+    return looked_up(fps, named, ["fp"])
+
+
 def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, fingerprint (16 hexadecimal digits) and component_id.
 
@@ -162,21 +199,17 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3, id_col:
     group of copies of any size costs one; repeated rows stay repeated. A null id joins its component without giving its
     number, and a component of null ids alone has none. An empty table gives no rows; further columns are left out.
     """
-    fps = cut(fingerprints(docs, size, id_col, text_col).withColumnRenamed(id_col, "i"))
-    nodes = fps.groupBy("fp").agg(F.min("i").alias("least"))
-    labels = components(links(nodes.select("fp"), radius))
-    of = cut(nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
-    smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = of.join(smallest, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("i").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _components(docs, radius, size, id_col, text_col)
+    return found.select(F.col("i").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows that repeat an id are one document."""
-    found = simhash_components(docs, radius, size, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    stay = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    ids = docs.select(id_col)
-    if ids.groupBy(id_col).count().where("count > 1").isEmpty():
-        return stay
-    return stay.dropDuplicates([id_col])
+    """docs with one document of each component, the one with the smallest id.
+
+    A document is an id in a component: rows that share its id but belong to other components are judged there, and rows
+    that repeat it (same id, same component) stay with it. Rows with a null id stay only in components without any id.
+    """
+    found = _components(docs, radius, size, id_col, text_col)
+    keep = found.where(F.col("i").eqNullSafe(F.col("component_id"))).select(F.col("i").alias("__id"), F.col("row").alias("__row")).distinct()
+    same = docs[id_col].eqNullSafe(keep["__id"]) & (row_hash(id_col, text_col) == keep["__row"])
+    return docs.join(keep, same, "left_semi")
