@@ -60,13 +60,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_quality_rules, op5_lm_scores, op7_token_counts, op10_simhash, op8_secret_spans, op6_html_texts, op9_toxicity, op4_mix_sources)}
 
 
-
 def _spans_sql() -> str:
     """The scan in SQL: between the matches lie the pieces of a split, and places are sums of both's lengths."""
     parts = []
     for rank, rule in enumerate(BASE + MORE):
-        # a run of one class that is long enough is one of the class's runs: SQL needn't list the short ones
-        pattern = (f"[0-9a-f]{{{rule.least},}}" if rule.kind == "hex" else rule.pattern).replace("'", "''")
+        pattern = rule.pattern.replace("'", "''")
         least = f"where length(regexp_extract_all(t, '{pattern}', {rule.group})[j]) >= {rule.least}" if rule.least else ""
         parts.append(
             f"select doc_id, {rank} as rank, '{rule.kind}' as kind, b, b + length(m[j]) as e from (select doc_id, t, m, j, coalesce(list_sum(list_transform(g[1:j], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0)::bigint as b "
