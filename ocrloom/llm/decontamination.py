@@ -1,13 +1,15 @@
 """Benchmark decontamination: word n-grams of the test items seed alignments that score copies, edited ones too.
 
-1. Words are runs of letters and digits in lower case. Every n-gram of an item is a seed: none is left out for its count,
-   because the n-grams that an edit made are the rarest, and those of a passage copied often are not rare.
+1. Words are runs of letters and digits in lower case; of scripts that don't part words, each character is one. Every
+   n-gram of an item is a seed: none is left out for its count, because the n-grams that an edit made are the rarest, and
+   those of a passage copied often are not rare.
 2. Places where a document's seeds point at nearly the same stretch share a window. A window that holds too few of the
    item's words to reach the threshold, whatever their order, is passed over: no alignment scores more than its words.
 3. The others are aligned with the item (Smith-Waterman over words).
 
-Items come in blocks of at most BLOCK_WORDS words, a bound on what a task holds of them; each block meets all documents
-in a pass of its own. Documents don't move: the pass is narrow, and nothing is shuffled.
+Items are dealt by a hash into blocks of about BLOCK_WORDS words; a block's items go with the tasks, and its size is
+checked before. Each block meets all documents in a pass of its own, and where there are several, a block's matches are
+written before the next is read. Documents don't move: the pass is narrow, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -20,22 +22,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, split_words, strings
+from .common import cut, sliced, split_words, strings, trimmed, written
 
 NGRAM = 3
-#: Words of the items of a block: their n-grams, as numbers, take some tens of MB of a task.
-BLOCK_WORDS = 1 << 20
+#: Words of the items of a block, about: their n-grams, as numbers, take some tens of MB of a task.
+BLOCK_WORDS = 1 << 19
+#: Bits of a word's number in that of an n-gram; numbers begin at 1, so that shorter n-grams have numbers of their own.
+WORD_BITS = 21
 #: Places and words of windows that a task looks at at once, or those of one document.
 AT_ONCE = 1 << 19
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's full score from which an alignment counts as a copy.
 THRESHOLD = 0.5
-_SIGNS = "[^0-9A-Za-zÀ-ÖØ-öø-ɏͰ-῿⺀-鿿가-힯]+"
+_SIGNS = r"[^\p{L}\p{N}\p{M}]+"
+#: Scripts that put no space between words.
+_UNPARTED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """split_words() of the texts in lower case with all signs but letters and digits turned into spaces."""
-    return split_words(pc.replace_substring_regex(pc.utf8_lower(strings(texts)), _SIGNS, " "))
+    texts = pc.replace_substring_regex(pc.utf8_lower(strings(texts)), _SIGNS, " ")
+    if pc.any(pc.match_substring_regex(texts, _UNPARTED)).as_py():
+        texts = pc.replace_substring_regex(texts, f"({_UNPARTED})", r" \1 ")
+    return split_words(texts)
 
 
 class Items:
@@ -45,6 +54,8 @@ class Items:
         codes, offsets, words = plain_words(pa.array(texts, pa.string()))
         order = pc.sort_indices(words).to_numpy()
         self.words = words.take(pa.array(order))
+        if len(self.words) + 1 >= 1 << WORD_BITS:
+            raise ValueError(f"a block of test items has {len(self.words)} distinct words, more than their numbers can hold")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         flat = rank[codes] if len(codes) else np.zeros(0, np.int64)
@@ -53,14 +64,14 @@ class Items:
         self.known = np.unique(np.concatenate([*self.per_item, np.zeros(0, np.int64)]))
 
     @staticmethod
-    def grams(words: np.ndarray) -> np.ndarray:
-        """n-grams as one number each, of words below 2**20; an item or text of fewer words is one short n-gram."""
-        n = min(NGRAM, len(words))
-        if not n:
+    def grams(words: np.ndarray, n: int = 0) -> np.ndarray:
+        """n-grams as one number each; an item of fewer words than NGRAM is one short n-gram."""
+        n = n or min(NGRAM, len(words))
+        if not n or len(words) < n:
             return np.zeros(0, np.int64)
         out = np.zeros(len(words) - n + 1, np.int64)
         for k in range(n):
-            out = (out << 20 | words[k : len(words) - n + 1 + k]) + (1 << 20 * (k + 1) if n < NGRAM else 0) * (k == n - 1)
+            out = out << WORD_BITS | (words[k : len(words) - n + 1 + k] + 1)
         return out
 
     def uses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,10 +102,7 @@ class Items:
             for k in range(n):
                 on &= flat[k : len(flat) - n + 1 + k] >= 0
             at = np.flatnonzero(on & (doc[: len(doc) - n + 1] == doc[n - 1 :]))
-            value = np.zeros(len(at), np.int64)
-            for k in range(n):
-                value = value << 20 | flat[at + k]
-            value += 1 << 20 * n if n < NGRAM else 0
+            value = self.grams(flat, n)[at]
             index = np.searchsorted(wanted, value)
             index[index == len(wanted)] = 0
             hit = wanted[index] == value if len(wanted) else np.zeros(len(at), bool)
@@ -141,6 +149,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
 
 
 def _match(items: Items, threshold: float, id_col: str):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_item, of_place, begin = items.uses()
         bag, held = items.bags()
@@ -208,33 +217,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     Null and wordless texts on either side match nothing; an item below NGRAM words is one seed by itself. Repeated rows
     of docs give a row each; items with the same id are items of their own. Without items, or without documents, there
-    are no rows. A copy without any NGRAM words in a row left as they were has no seed. A document of any length is searched whole. Columns besides ids and texts are not looked at.
+    are no rows. A copy without any NGRAM words in a row left as they were has no seed. A document of any length is
+    searched whole, an item of any length up to 2**21 distinct words. Columns besides ids and texts are not looked at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     schema = f"`{id_col}` {kind}, item_id long, score double, n_seeds long, first_word long, end_word long"
-    out, block, words = [], [], 0
-
-    def search(rows: list) -> DataFrame:
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        return source.mapInArrow(_match(items, threshold, id_col), schema)
-
-    for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = row["text"].count(" ") + 1
-        if block and words + n > BLOCK_WORDS:
-            out.append(search(block))
-            block, words = [], 0
-        block.append(row)
-        words += n
-    if block or not out:
-        out.append(search(block))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets, _ = plain_words(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(np.diff(offsets))], names=["item_id", "text", "n"])
+
+    items = cut(benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(counted, "item_id long, text string, n long").where("n > 0"))
+    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    found = None
+    for k in range(blocks):
+        own = items.where(F.col("block") == k)
+        size = own.agg(F.sum("n")).first()[0] or 0
+        if size > max(4 * BLOCK_WORDS, own.agg(F.max("n")).first()[0] or 0):
+            raise ValueError(f"{size} words of test items fall into one block; some of them must be repeated very often")
+        rows = own.orderBy("item_id", "text").collect()
+        pairs = source.mapInArrow(_match(Items([r["item_id"] for r in rows], [r["text"] for r in rows]), threshold, id_col), schema)
+        if blocks > 1:
+            pairs = written(pairs, "contaminated")
+        found = pairs if found is None else found.unionByName(pairs)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a copy of a test item."""
+    """docs without the documents that hold a copy of a test item: an id goes with all its rows."""
     found = contaminated(docs, benchmark, threshold, id_col, text_col).select(F.col(id_col).alias("__id")).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left_anti")
