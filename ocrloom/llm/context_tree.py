@@ -4,14 +4,18 @@ Each byte is eight binary decisions. A decision has a node for each context of i
 bits of the byte already known); a node estimates by Krichevsky and Trofimov, and weights its own estimate against its
 children's, half and half beforehand. With the tree learned, a decision's probability is the mixture of the estimates
 along its context's path, by the weights that the training data leave; a path ends where training never went on, and the
-last node's estimate takes the rest. So a text's code length needs only, for each run of DEPTH + 1 bytes in it, one number.
+last node's estimate takes the rest: an empty child would say 1/2 there, which is worse than what its parent has learned,
+and the mixture stays a distribution either way. So a text's code length needs only, for each run of DEPTH + 1 bytes in it, one number.
 
 How that is shared out:
 
 1. Each partition of documents lists its distinct byte runs and words with their training counts, packed in rows by a
    hash of the run or word (requests).
 2. Requests meet by hash; their distinct runs go with their counts to the task of their last three context bytes, which
-   holds those bytes' whole subtree. Nodes of at most two context bytes (2**24 at most) are summed up and broadcast.
+   holds those bytes' whole subtree. Of nodes of at most two context bytes the sums go to the driver and three numbers each
+   to all tasks: text in UTF-8 can have some 8 million of them, whatever its size (33,000 pairs of bytes, 255 paths), and any
+   real text has some hundred thousand; more than that is an error.
+   Hash groups are as many as the texts' size asks for, so a group stays small.
 3. The numbers go back to the hash tasks, there into the order of each request, and to the requesting partition, where the
    documents are scored.
 
@@ -28,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, sliced, split_words, strings, written
+from .common import n_partitions, sliced, split_words, strings, trimmed, written
 from .quality import word_hashes
 
 DEPTH = 5
@@ -37,6 +41,10 @@ TOP = 2
 #: A byte that no UTF-8 text holds: it ends a text, and stands for what lies before one.
 EDGE = 0xFF
 LN2 = np.log(2)
+#: Bytes of text for each hash group, and how many groups there are at most: distinct runs grow far slower than texts.
+GROUP_BYTES, MAX_GROUPS = 16 << 20, 1 << 14
+#: Nodes of at most TOP context bytes that go with the tasks, 24 bytes each.
+MAX_TOP = 1 << 23
 RUNS, WORDS = 0, 1
 
 
@@ -106,6 +114,7 @@ def counted(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _requests(n_buckets: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {RUNS: [], WORDS: []}
         pid, tokens, texts = None, 0, 0
@@ -177,6 +186,11 @@ class Level:
         self.weight = np.ones(len(keys)) if children is None else np.exp(own - LN2 - self.log)
         self.one = (n1 + 0.5) / (n0 + n1 + 1.0)
 
+    def estimates(self) -> Level:
+        """This level with what scores need alone."""
+        self.n0 = self.n1 = self.log = None
+        return self
+
     def above(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys at depth, one less than this level's, with the sums over their children here."""
         key = ((self.keys >> 8) & ((1 << 8 * depth) - 1)) << 8 | (self.keys & 255)
@@ -327,7 +341,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     row trains every bit has probability 1/2. docs must read the same twice, as tables do. Further columns are left out.
     """
     spark = docs.sparkSession
-    n = n_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(n_partitions(spark), min(MAX_GROUPS, -(-size // GROUP_BYTES)))
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7)) == 2, F.lit(False))
     source = docs.select(F.col(id_col).alias("i"), held.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.spark_partition_id().alias("p"))
     requests = written(source.mapInArrow(_requests(n), _REQUESTS), "lm-requests")
@@ -337,9 +352,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     of_runs = requests.where(F.col("kind") == RUNS).select("kind", "bucket", "pid", "keys", "counts")
     totals = written(of_runs.groupBy("bucket").applyInArrow(_totals(n), "bucket int, shard int, keys binary, counts binary"), "lm-totals")
-    # nodes of TOP context bytes: 2**24 at most, whatever the corpus
-    up = totals.groupBy("shard").applyInArrow(_upwards, "key long, n0 double, n1 double, log double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))).orderBy("key").toPandas()
-    top = grown(Level(*(up[c].to_numpy() for c in ("key", "n0", "n1", "log"))), 0, TOP)
+    up = written(totals.groupBy("shard").applyInArrow(_upwards, "key long, n0 double, n1 double, log double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))), "lm-top")
+    if (n_top := up.count()) > MAX_TOP:
+        raise ValueError(f"{n_top} nodes of {TOP} context bytes: the texts aren't UTF-8")
+    up = up.orderBy("key").toPandas()
+    top = [level.estimates() for level in grown(Level(*(up[c].to_numpy() for c in ("key", "n0", "n1", "log"))), 0, TOP)]
     values = totals.groupBy("shard").applyInArrow(_values(top), "bucket int, keys binary, values binary")
     runs = of_runs.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answers, _ANSWERS)
     words = requests.where(F.col("kind") == WORDS).select("kind", "bucket", "pid", "keys", "counts").groupBy("bucket").applyInArrow(_word_answers, _ANSWERS)
