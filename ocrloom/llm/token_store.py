@@ -19,6 +19,7 @@ passages give equal chunks wherever they stand.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +35,12 @@ WINDOW = 8
 #: Bits of the rolling hash that are zero at a cut: chunks of about 2**9 ids.
 CUT_BITS = 9
 _GEAR = np.random.default_rng(20240229).integers(0, 2**63, 1 << 16, dtype=np.uint64)
-#: Latin letters that the tokenizer takes for letters and that stand for themselves when composed. A word goes by its
-#: parts only if it is of these both as it stands and in lower case.
+#: Latin letters that the tokenizer takes for letters and that stand for themselves when composed.
 _LATIN = "À-ÖØ-öø-įı-ɏ"
-#: Distinct parts of words of which a task keeps the ids, and bytes of text that it encodes at once.
-MAX_PARTS, SLICE = 300_000, 2 << 20
+#: Those of them whose lower case isn't among them: a word that has one goes through the whole tokenizer.
+_LEAVING = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.match(f"[{_LATIN}]", c) and not re.fullmatch(f"[{_LATIN}]", c.lower()))
+#: Distinct parts of words of which a worker keeps the ids, some 40 bytes each, and bytes of text that it encodes at once.
+MAX_PARTS, SLICE = 600_000, 4 << 20
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -83,7 +85,9 @@ class WordEncoder:
         """Indices of the parts among those known, the new ones encoded and added."""
         if len(self.keys) + len(parts) > MAX_PARTS:
             self.forget()
-        new = parts.filter(pc.is_null(pc.index_in(parts, value_set=self.keys)))
+        at = pc.index_in(parts, value_set=self.keys)
+        unknown, first = pc.is_null(at), len(self.keys)
+        new = parts.filter(unknown)
         words, ids = new.to_pylist(), []
         for k in range(0, len(words), 50_000):
             lines = [" ".join(words[i : i + 200]) for i in range(k, min(k + 50_000, len(words)), 200)]
@@ -96,13 +100,15 @@ class WordEncoder:
             self.starts = np.concatenate((self.starts, ends + self.starts[-1]))
             self.flat = np.concatenate((self.flat, flat))
             self.keys = pa.concat_arrays([self.keys, new])
-        return pc.index_in(parts, value_set=self.keys).to_numpy(zero_copy_only=False).astype(np.int64)
+        places = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[unknown.to_numpy(zero_copy_only=False)] = first + np.arange(len(words))
+        return places
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and their number for each word."""
-        low, signs = pc.utf8_lower(words), f"^[!-&(-~{_LATIN}]+$"
-        plain = pc.and_(pc.and_(pc.match_substring_regex(words, signs), pc.match_substring_regex(low, signs)), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
-        cut = pc.replace_substring_regex(low.filter(pa.array(plain)), f"([a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+)", "\\1 ")
+        odd = pc.or_(pc.match_substring_regex(words, f"^$|[^!-&(-~{_LATIN}]|[{_LEAVING}]"), pc.match_substring(words, "<|"))
+        plain = pc.invert(odd).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), f"([a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+)", "\\1 ")
         lists = pc.split_pattern(pc.ascii_rtrim(cut, " "), " ")
         parts = lists.flatten().dictionary_encode()
         known = self.learn(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)] if len(parts) else np.zeros(0, np.int64)
@@ -154,6 +160,8 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
 _STAGED = "kind string, route long, doc_id {id}, digest binary, n long, payload binary, lengths binary, root binary"
 #: Digests that a task remembers, so as not to send copies that lie near each other; the shuffle drops the others.
 MAX_SEEN = 100_000
@@ -164,7 +172,9 @@ def _encode(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, zstd = WordEncoder(name), zstandard.ZstdCompressor(level=1, write_content_size=True)
+        if name not in _encoders:
+            _encoders[name] = WordEncoder(name)
+        own, zstd = _encoders[name], zstandard.ZstdCompressor(level=1, write_content_size=True)
         seen: set[bytes] = set()
         for whole in batches:
             for batch in sliced(whole, "t", SLICE):
