@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds and sizes of models, and the recognizers' classes.
@@ -96,5 +96,25 @@ def resolved(root: str, files: DataFrame, listing: DataFrame) -> DataFrame:
     return files.join(seen, ["name", "file"], "left").select("name", "file", F.when(F.col("found") == F.col("bytes"), asset_path(root, F.col("name"), F.col("file"))).alias("path"))
 
 
+def package_files(spark: SparkSession, root: str) -> DataFrame:
+    """name, file, length, content of the files of the packages below root; content is read only where it is asked for."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("name"), F.element_at(parts, -1).alias("file"), "length", "content")
+
+
+def require_packages(spark: SparkSession, root: str, files: DataFrame, verify: bool = False) -> None:
+    """An error that names the packages of a catalog that root lacks: files missing or of another length, with verify also of
+    another digest. The two are the offline and the verifying access; there is no download."""
+    listing = package_files(spark, root)
+    if verify:
+        state = verified(files, listing).select("name", F.col("valid").alias("ok"))
+    else:
+        state = resolved(root, files, listing).groupBy("name").agg(F.bool_and(F.col("path").isNotNull()).alias("ok"))
+    bad = [r["name"] for r in state.where("not ok").orderBy("name").collect()]
+    if bad:
+        raise ValueError(f"model packages not complete below {root}: {', '.join(bad)}")
+
+
 def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
     return files.join(listing, ["name", "file"], "left_anti").select("name", "file")

@@ -7,7 +7,7 @@ tables of pixels the same links are a relation, a few per line, over which label
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,9 +111,9 @@ def _planes(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.nd
         yield batch.column("image_id").slice(k, 1), plane.reshape(h, w), on
 
 
-def _heatmaps(heatmaps: DataFrame) -> DataFrame:
+def _heatmaps(heatmaps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     sized = "content_width" in heatmaps.columns
-    return heatmaps.select("image_id", "width", "height", (F.col("content_width") if sized else F.col("width")).alias("cw"), (F.col("content_height") if sized else F.col("height")).alias("ch"), F.col("values").cast("array<double>").alias("values"))
+    return heatmaps.select(*[F.col(c).alias(f"keep_{c}") for c in keep], "image_id", "width", "height", (F.col("content_width") if sized else F.col("width")).alias("cw"), (F.col("content_height") if sized else F.col("height")).alias("ch"), F.col("values").cast("array<double>").alias("values"))
 
 
 def labelled_pixels(heatmaps: DataFrame, threshold: float) -> DataFrame:
@@ -132,16 +132,17 @@ def labelled_pixels(heatmaps: DataFrame, threshold: float) -> DataFrame:
 _MOMENTS, _AXES = ("n", "score", "sx", "sy", "sxx", "sxy", "syy"), ("cx", "cy", "ax", "ay", "a0", "a1", "b0", "b1")
 
 
-def components_of(heatmaps: DataFrame, threshold: float) -> DataFrame:
-    """A row per component: image_id, label, the sums of component_moments(), centre, axis, and the spans along and across it.
+def components_of(heatmaps: DataFrame, threshold: float, keep: Sequence[str] = ()) -> DataFrame:
+    """A row per component: image_id, label, the sums of component_moments(), centre, axis, the spans along and across it, and
+    the columns of the heatmap that keep names.
 
     Labels, sums and spans come from one pass over an image where its row lies, so pixels never leave it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for image, plane, on in _planes(batch):
+            of_row, rows = [], []
+            for k, (_, plane, on) in enumerate(_planes(batch)):
                 y, x, label = _label_runs((plane >= threshold) & on)
                 found, of = np.unique(label, return_inverse=True)
                 n = np.bincount(of, minlength=len(found))
@@ -157,13 +158,16 @@ def components_of(heatmaps: DataFrame, threshold: float) -> DataFrame:
                     for f, edge in ((np.minimum, np.inf), (np.maximum, -np.inf)):
                         spans.append(np.full(len(found), edge))
                         f.at(spans[-1], of, v)
-                ids.append(image.take(pa.array(np.zeros(len(found), np.int64))))
+                of_row.append(np.full(len(found), k))
                 rows.append((found, n, score, *(v.astype(np.int64) for v in (sx, sy, sxx, sxy, syy)), cx, cy, ax, ay, *spans))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(np.concatenate(c)) for c in zip(*rows, strict=True))], names=["image_id", "label", *_MOMENTS, *_AXES])
+                at = pa.array(np.concatenate(of_row))
+                given = [batch.column(c).take(at) for c in ("image_id", *(f"keep_{c}" for c in keep))]
+                yield pa.RecordBatch.from_arrays([*given, *(pa.array(np.concatenate(c)) for c in zip(*rows, strict=True))], names=["image_id", *keep, "label", *_MOMENTS, *_AXES])
 
     kinds = {"n": "long", "score": "double", **dict.fromkeys(_MOMENTS[2:], "long"), **dict.fromkeys(_AXES, "double")}
-    return _heatmaps(heatmaps).mapInArrow(run, f"image_id {heatmaps.schema['image_id'].dataType.simpleString()}, label long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    given = ", ".join(f"`{c}` {heatmaps.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
+    return _heatmaps(heatmaps, keep).mapInArrow(run, f"{given}, label long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def component_moments(labelled: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def rotated_boxes(labelled: DataFrame, options: DetectionOptions) -> DataFrame:
 
 
 def boxed(spans: DataFrame, options: DetectionOptions) -> DataFrame:
-    """image_id, label, n, score, polygon from the centres, axes and spans of components; the filters apply."""
+    """image_id, label, n, score, polygon (and what else spans has) from the centres, axes and spans of components; the filters apply."""
     mid_a, mid_b = (F.col("a0") + F.col("a1")) / 2, (F.col("b0") + F.col("b1")) / 2
     half_a, half_b = (F.col("a1") - F.col("a0") + 1) * options.unclip_ratio / 2, (F.col("b1") - F.col("b0") + 1) * options.unclip_ratio / 2
 
@@ -197,7 +201,8 @@ def boxed(spans: DataFrame, options: DetectionOptions) -> DataFrame:
         return F.array(F.col("cx") + a * F.col("ax") - b * F.col("ay"), F.col("cy") + a * F.col("ay") + b * F.col("ax"))
 
     kept = spans.where((F.col("n") >= options.min_area) & (F.col("score") >= options.box_threshold))
-    return kept.select("image_id", "label", "n", "score", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("polygon"))
+    rest = [c for c in spans.columns if c not in ("image_id", "label", *_MOMENTS, *_AXES)]
+    return kept.select("image_id", *rest, "label", "n", "score", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("polygon"))
 
 
 def mapped_to_source(boxes: DataFrame, source_width: Column, source_height: Column, content_width: Column, content_height: Column) -> DataFrame:
@@ -218,8 +223,8 @@ def best_in_reading_order(detections: DataFrame, max_boxes: int, found: str = "l
 def extract_detections(heatmaps: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:  # noqa: B008
     """image_id, det_idx, score, polygon in source coordinates. heatmaps: image_id, width, height, values; source_width,
     source_height, content_width and content_height where source and map differ."""
-    boxes = boxed(components_of(heatmaps, options.binary_threshold), options)
-    if "source_width" in heatmaps.columns:
-        sizes = heatmaps.select("image_id", "source_width", "source_height", "content_width", "content_height")
-        boxes = mapped_to_source(boxes.join(sizes, "image_id"), F.col("source_width"), F.col("source_height"), F.col("content_width"), F.col("content_height"))
+    sizes = ("source_width", "source_height", "content_width", "content_height") if "source_width" in heatmaps.columns else ()
+    boxes = boxed(components_of(heatmaps, options.binary_threshold, sizes), options)
+    if sizes:
+        boxes = mapped_to_source(boxes, *map(F.col, sizes))
     return best_in_reading_order(boxes, options.max_boxes).select("image_id", "det_idx", "score", "polygon")

@@ -2,7 +2,9 @@
 
 Detector and recognizer are functions from DataFrame to DataFrame, so that any model can stand there: the detector gets
 rows with `data` ([3, input_height, input_width]) and returns image_id and values (a heatmap of that size); the recognizer
-gets crops with `data` ([3, 48, input_width]) and returns image_id, det_idx and values (steps of class probabilities).
+gets crops with `data` ([3, 48, input_width]) and returns image_id, det_idx and values (steps of class probabilities). A
+model that hands on the other columns it was given spares the flow a join: then detection is narrow up to the boxes, the
+boxes go to their images once, and what follows is narrow again.
 """
 
 from __future__ import annotations
@@ -44,21 +46,27 @@ class OcrPipeline:
 
     def detect(self, planned: DataFrame) -> DataFrame:
         """image_id, det_idx, score, polygon."""
-        data = preprocess.prepared(planned, None, preprocess.DETECTOR_MEAN, preprocess.DETECTOR_STD)
         sizes = planned.select("image_id", F.col("width").alias("source_width"), F.col("height").alias("source_height"), F.col("input_width").alias("width"), F.col("input_height").alias("height"))
-        heat = self.detector(data).select("image_id", "values").join(sizes, "image_id")
+        heat = self.detector(preprocess.prepared(planned, None, preprocess.DETECTOR_MEAN, preprocess.DETECTOR_STD))
+        if {"width", "height", "input_width", "input_height"} <= set(heat.columns):
+            heat = heat.select("image_id", "values", F.col("width").alias("source_width"), F.col("height").alias("source_height"), F.col("input_width").alias("width"), F.col("input_height").alias("height"))
+        else:
+            heat = heat.select("image_id", "values").join(sizes, "image_id")
         return extract_detections(heat.withColumn("content_width", F.col("width")).withColumn("content_height", F.col("height")), self.options.detection)
 
     def recognize(self, images: DataFrame, detections: DataFrame) -> DataFrame:
         """image_id, det_idx, polygon, detection_score, text, recognition_score."""
         batches = recognition_batches(detections).withColumnRenamed("batch_width", "input_width")
         # an image's crops come to it as an array, at most as long as the detector's max_boxes; its pixels are there once
-        crops = batches.groupBy("image_id").agg(F.collect_list(F.struct("det_idx", "polygon", "content_width", "input_width")).alias("crops"))
+        fields = ["det_idx", "polygon", "score", "content_width", "input_width"]
+        crops = batches.groupBy("image_id").agg(F.collect_list(F.struct(*fields)).alias("crops"))
         wanted = images.select("image_id", "width", "height", "pixels").join(crops, "image_id")
         data = preprocess.prepared_crops(wanted, geo.RECOGNIZER_INPUT_HEIGHT, preprocess.RECOGNIZER_MEAN, preprocess.RECOGNIZER_STD)
-        values = self.recognizer(data).select("image_id", "det_idx", "values")
+        values = self.recognizer(data)
+        if not set(fields) <= set(values.columns):
+            values = batches.select("image_id", *fields).join(values.select("image_id", "det_idx", "values"), ["image_id", "det_idx"])
         decoded = decode_ctc(F.col("values"), self.steps, self.classes, self.dictionary, F.col("content_width"), F.col("input_width"))
-        return batches.join(values, ["image_id", "det_idx"]).withColumn("d", decoded).select("image_id", "det_idx", "polygon", F.col("score").alias("detection_score"), F.col("d.text").alias("text"), F.col("d.score").alias("recognition_score"))
+        return values.withColumn("d", decoded).select("image_id", "det_idx", "polygon", F.col("score").alias("detection_score"), F.col("d.text").alias("text"), F.col("d.score").alias("recognition_score"))
 
     def transform(self, images: DataFrame) -> DataFrame:
         """images (image_id, width, height, pixels) to image_id, source_size, detector_input_size, lines: a row for each image."""

@@ -611,14 +611,14 @@ def _synthetic_images(spark: SparkSession, sf: str) -> DataFrame:
 def _bright(data: DataFrame) -> DataFrame:
     """A detector's stand-in: the sigmoid of the first plane."""
     n = (F.col("input_width") * F.col("input_height")).cast("int")
-    return data.select("image_id", F.transform(F.slice("data", F.lit(1), n), lambda x: t.sigmoid(x.cast("double"))).alias("values"))
+    return data.withColumn("values", F.transform(F.slice("data", F.lit(1), n), lambda x: t.sigmoid(x.cast("double")))).drop("data")
 
 
 def _stripes(data: DataFrame) -> DataFrame:
     """A recognizer's stand-in: eight steps, each a softmax over four cells in the crop's middle row."""
     cell = lambda k: F.get("data", (F.col("input_width") * 24 + F.floor(F.col("content_width") * k / 32)).cast("int")).cast("double")
     rows = [t.softmax(F.array(*[cell(4 * s + c) * 3 for c in range(4)])) for s in range(8)]
-    return data.select("image_id", "det_idx", F.concat(*rows).alias("values"))
+    return data.withColumn("values", F.concat(*rows)).drop("data")
 
 
 @query()

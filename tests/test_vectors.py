@@ -263,6 +263,25 @@ def test_paths_of_models(monkeypatch):
     assert catalog.dictionary_beside("/m/x", "/d.txt") == "/d.txt"
 
 
+def test_packages_on_disk(spark, tmp_path):
+    import hashlib
+
+    for name, file, content in (("small-det", "m", b"abc"), ("small-det", "n", b""), ("small-rec", "inference.yml", b"character_dict:\n- a\n")):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / file).write_bytes(content)
+    files = spark.createDataFrame([("small-det", "m", 3, hashlib.sha256(b"abc").hexdigest()), ("small-rec", "inference.yml", 20, "other")], "name string, file string, bytes long, sha256 string")
+    catalog.require_packages(spark, str(tmp_path), files.where("file = 'm'"), verify=True)
+    catalog.require_packages(spark, str(tmp_path), files)
+    with pytest.raises(ValueError, match="small-rec"):
+        catalog.require_packages(spark, str(tmp_path), files, verify=True)
+    with pytest.raises(ValueError, match="small-det"):
+        catalog.require_packages(spark, str(tmp_path), files.withColumn("bytes", F.when(F.col("file") == "m", 4).otherwise(F.col("bytes"))))
+    base = ["x", "--detector", "m:f", "--recognizer", "m:g", "--steps", "1", "--classes", "3", "--output", "o"]
+    assert cli.arguments(base).dictionary is None and cli.arguments([*base, "--offline"]).offline
+    with pytest.raises(SystemExit):
+        cli.arguments([*base, "--offline", "--verify-models"])
+
+
 def test_lookups_of_hot_keys(spark):
     rows = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, k) for k in range(2, 1500)] + [(None, 0), (9999, 0)], "k int, v int")
     entries = spark.createDataFrame([(k, f"e{k}") for k in range(1500)], "k int, e string")
