@@ -45,7 +45,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
 LEVEL, MIN_MATCH = 12, 3
 #: Savings are counted from LOW to LOW + SAVINGS - 1 bytes, those beyond with the outermost.
 LOW, SAVINGS = -5, 21
-FALSE_ALARM = 6.0
+FALSE_ALARM = 4.0
 
 
 def windows(text: str, n: int = WINDOW) -> list[bytes]:
