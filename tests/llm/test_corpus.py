@@ -858,6 +858,91 @@ def test_pipeline_stages(spark):
     assert found.select("component_id").distinct().count() == simhash.drop_near_copies(spark.read.parquet(f"{DATA}/documents.parquet")).count()
 
 
+def walk_components(fps, radius=2):
+    label = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows from the rows before it, walked by hand: repeated and null ids, null and empty texts, copies, test items."""
+    import corpus_pipeline
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(41)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
+    items = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    texts = [" ".join(word() for _ in range(rng.randrange(30, 120))) for _ in range(50)]
+    texts += [texts[0], texts[1], texts[1], texts[2] + " end", f"{texts[3]} {items[0]} {texts[4]}", items[1].replace(" ", "\n"), None, "", "short", "tie tie", "tie tie"]
+    toxic = set(range(4, 50, 6))
+    texts = [x if k not in toxic else " ".join(w for y in x.split() for w in ([y, "numskull"] if rng.random() < 0.2 else [y])) for k, x in enumerate(texts)]
+    ids = [*range(50), 50, 51, 51, 53, 54, 55, None, 57, None, 59, 59]
+    docs = spark.createDataFrame([(i, x, "en", [None, "a", "b"][k % 3], len(x or "")) for k, (i, x) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    scores = {(r["doc_id"], r["score"]): r["predicted"] for r in toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert sum(scores.values()) >= 5
+    first = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    assert sum(plain(first).values()) == len(texts) - sum(r["predicted"] for r in toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect())
+    assert all("numskull" not in (x or "") or (x or "").count("numskull") < 12 for _, x, _ in plain(first))
+
+    rows = list(plain(first).elements())
+    label = walk_components([brute_fingerprint(x) for _, x, _ in rows])
+    least = {g: min((rows[k][0] for k in range(len(rows)) if label[k] == g and rows[k][0] is not None), default=None) for g in set(label)}
+    second = stages["near_copies"](spark, first, str(tmp_path)).cache()
+    assert plain(second) == Counter(rows[k] for k in range(len(rows)) if rows[k][0] == least[label[k]])
+
+    def words(x):
+        codes, _, flat = decontamination.plain_words(pa.array([x], pa.string()))
+        return [flat[c].as_py() for c in codes]
+
+    def copies(x):
+        doc = words(x)
+        for y in items:
+            item = words(y)
+            code = {w: c for c, w in enumerate(dict.fromkeys(item + doc))}
+            if decontamination.align(np.array([code[w] for w in item]), np.array([code[w] for w in doc], int))[0] >= decontamination.THRESHOLD:
+                return True
+        return False
+
+    third = stages["decontamination"](spark, second, str(tmp_path)).cache()
+    held = {i for i, x, _ in plain(second) if copies(x)}
+    assert plain(third) == Counter({k: n for k, n in plain(second).items() if k[0] not in held}) and held
+
+    fourth = stages["mixing"](spark, third, str(tmp_path)).cache()
+    taken, given = Counter(), Counter()
+    for r in mixing.mix_sources(third).collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    for i, x, source in plain(fourth).elements():
+        given[i, source] += len(x.split())
+        assert any(x == y or " ".join((y or "").split()[: len(x.split())]) == x for j, y, z in plain(third) if (j, z) == (i, source))
+    assert given == Counter({k: n for k, n in taken.items() if n}) and fourth.columns == docs.columns
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in stages["token_ids"](spark, fourth, str(tmp_path)).collect())
+    encode = lambda x: np.array(tokenizer.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
+    assert found == Counter((i, len(encode(x)), zlib.crc32(encode(x).tobytes())) for i, x, _ in plain(fourth).elements())
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, columns in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("documents", "doc_id long, text string, lang string, source string, n_chars long")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_secret_spans_equal_their_sql(spark):
     import duckdb
 
