@@ -891,11 +891,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     plain = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
 
-    scores = {(r["doc_id"], r["score"]): r["predicted"] for r in toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
-    assert sum(scores.values()) >= 5
+    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
     first = stages["toxicity"](spark, docs, str(tmp_path)).cache()
-    assert sum(plain(first).values()) == len(texts) - sum(r["predicted"] for r in toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect())
-    assert all("numskull" not in (x or "") or (x or "").count("numskull") < 12 for _, x, _ in plain(first))
+    assert plain(first) == Counter((r["doc_id"], r["text"], r["source"]) for r, s in zip(docs.collect(), scores, strict=True) if not s["predicted"])
+    assert 2 <= sum(s["predicted"] for s in scores) <= 10
 
     rows = list(plain(first).elements())
     label = walk_components([brute_fingerprint(x) for _, x, _ in rows])
