@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tensor import let
+
 MAX_OVERLAP = 32
 
 
@@ -21,9 +23,13 @@ def yaml_scalar(value: Column) -> Column:
 
 def overlap(text: Column, following: Column) -> Column:
     """Characters of the longest end of text that following begins with, MAX_OVERLAP at most."""
-    most = F.least(F.length(text), F.length(following), F.lit(MAX_OVERLAP))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (k <= most) & (F.right(text, k) == F.left(following, k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+
+    def of(a: Column, b: Column) -> Column:
+        most = F.least(F.length(a), F.length(b), F.lit(MAX_OVERLAP))
+        fits = let(most, lambda n: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & F.endswith(a, F.left(b, k))))
+        return F.coalesce(F.array_max(fits), F.lit(0))
+
+    return let(F.right(text, F.lit(MAX_OVERLAP)), lambda a: let(F.left(following, F.lit(MAX_OVERLAP)), lambda b: of(a, b)))
 
 
 def pieces(text: Column, size: int, step: int) -> Column:
@@ -37,12 +43,14 @@ def joined(parts: Column) -> Column:
     over the characters that each part adds, 0 if none adds any. Of what has been joined only the end is looked at."""
     start = F.struct(F.lit("").alias("text"), F.lit("").alias("tail"), F.lit(0.0).alias("sum"), F.lit(0).alias("weight"))
 
-    def add(acc: Column, part: Column) -> Column:
-        shared = overlap(acc["tail"], part["text"])
+    def grown(acc: Column, part: Column, shared: Column, rest: Column) -> Column:
         added = F.length(part["text"]) - shared
-        rest = F.substring(part["text"], shared + 1, F.greatest(added, F.lit(0)))
         return F.struct(F.concat(acc["text"], rest).alias("text"), F.right(F.concat(acc["tail"], rest), F.lit(MAX_OVERLAP)).alias("tail"), (acc["sum"] + part["score"] * added).alias("sum"), (acc["weight"] + added).alias("weight"))
 
+    def add(acc: Column, part: Column) -> Column:
+        rest = lambda shared: F.substring(part["text"], shared + 1, F.length(part["text"]))
+        return let(overlap(acc["tail"], part["text"]), lambda shared: let(rest(shared), lambda r: grown(acc, part, shared, r)))
+
     return F.aggregate(parts, start, add, lambda acc: F.struct(acc["text"].alias("text"), F.when(acc["weight"] > 0, acc["sum"] / acc["weight"]).otherwise(0.0).alias("score")))
 
 

@@ -603,9 +603,12 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def _synthetic_images(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector as an image of 64 by 32 pixels, its numbers as blocks of 8 by 4."""
-    grey = F.transform(F.sequence(F.lit(0), F.lit(64 * 32 - 1)), lambda i: F.lpad(F.hex(F.floor(F.least(F.greatest(F.get(F.col("a"), (F.floor(i / 64 / 4) * 8 + F.floor((i % 64) / 8)).cast("int")) * 400 + 100, F.lit(0.0)), F.lit(255.0))).cast("long")), 2, "0"))
-    pixels = F.unhex(F.array_join(F.transform(grey, lambda x: F.repeat(x, 3)), ""))
-    return vectors(spark, sf).where("vec_id >= 0").select(F.col("vec_id").alias("image_id"), F.lit(64).alias("width"), F.lit(32).alias("height"), pixels.alias("pixels"))
+    grey = F.transform("a", lambda v: F.lpad(F.hex(F.floor(F.least(F.greatest(v * 400 + 100, F.lit(0.0)), F.lit(255.0))).cast("long")), 2, "0"))
+    line = lambda g, k: F.repeat(F.array_join(F.transform(F.slice(g, k * 8 + 1, F.lit(8)), lambda x: F.repeat(x, 8 * 3)), ""), F.lit(4))
+    pixels = F.unhex(F.array_join(t.let(grey, lambda g: F.transform(t.upto(8), lambda k: line(g, k))), ""))
+    # an image is far more work than the row it is made of: dealt out before, as files of images would be
+    rows = vectors(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    return rows.select(F.col("vec_id").alias("image_id"), F.lit(64).alias("width"), F.lit(32).alias("height"), pixels.alias("pixels"))
 
 
 def _bright(data: DataFrame) -> DataFrame:
