@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.joins import checkpoint_dir
 from ..operators.joins import cut_lineage as cut
 
-__all__ = ["WORD_PATTERN", "cut", "n_partitions", "new_path", "sliced", "split_words", "strings", "table", "trimmed", "written"]
+__all__ = ["WORD_PATTERN", "cut", "n_partitions", "new_path", "release", "sliced", "split_words", "strings", "table", "trimmed", "written"]
 
 #: Any byte that is not white space: a word is a maximal run of these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -39,16 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+def release() -> None:
+    """Gives freed memory back: a Python worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """run, for mapInArrow; behind a task the worker, which lives on, gives its freed memory back."""
+    """run, for mapInArrow, with release() behind a task."""
 
     def whole(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return whole
 

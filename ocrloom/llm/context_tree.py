@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, sliced, split_words, strings, trimmed, written
+from .common import n_partitions, release, sliced, split_words, strings, trimmed, written
 from .quality import word_hashes
 
 DEPTH = 5
@@ -43,6 +43,8 @@ EDGE = 0xFF
 LN2 = np.log(2)
 #: Bytes of text for each hash group, and how many groups there are at most: distinct runs grow far slower than texts.
 GROUP_BYTES, MAX_GROUPS = 16 << 20, 1 << 14
+#: Bytes of text that are cut into runs at once, which take some 50 times as much memory.
+SLICE = 1 << 20
 #: Nodes of at most TOP context bytes that go with the tasks, 24 bytes each.
 MAX_TOP = 1 << 23
 RUNS, WORDS = 0, 1
@@ -90,9 +92,24 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw, "u8"), dtype=np.uint64)
 
 
+class Groups:
+    """Equal keys brought together. Keys mostly come as sorted runs, which a stable sort merges."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        ranked = keys[self.order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.starts = np.flatnonzero(new)
+        self.keys = ranked[self.starts]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.order], self.starts) if len(self.starts) else values[:0]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+    groups = Groups(keys)
+    return groups.keys, groups.sums(counts.astype(np.int64))
 
 
 def hashed(keys: np.ndarray, n: int) -> np.ndarray:
@@ -119,7 +136,7 @@ def _requests(n_buckets: int):
         held: dict[int, list] = {RUNS: [], WORDS: []}
         pid, tokens, texts = None, 0, 0
         for whole in batches:
-            for batch in sliced(whole, "t"):
+            for batch in sliced(whole, "t", SLICE):
                 pid = batch.column("p")[0].as_py()
                 for kind, found in counted(batch).items():
                     held[kind].append(found)
@@ -193,9 +210,8 @@ class Level:
 
     def above(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys at depth, one less than this level's, with the sums over their children here."""
-        key = ((self.keys >> 8) & ((1 << 8 * depth) - 1)) << 8 | (self.keys & 255)
-        distinct, place = np.unique(key, return_inverse=True)
-        return distinct, *(np.bincount(place, x, len(distinct)) for x in (self.n0, self.n1, self.log))
+        groups = Groups(((self.keys >> 8) & ((1 << 8 * depth) - 1)) << 8 | (self.keys & 255))
+        return groups.keys, *(groups.sums(x) for x in (self.n0, self.n1, self.log))
 
 
 def leaves(runs: np.ndarray, counts: np.ndarray) -> Level:
@@ -204,8 +220,8 @@ def leaves(runs: np.ndarray, counts: np.ndarray) -> Level:
     keys = np.concatenate([context << 8 | (1 << j) | (byte >> (8 - j)) for j in range(8)])
     bits = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
     n = np.tile(counts, 8)
-    distinct, place = np.unique(keys, return_inverse=True)
-    return Level(distinct, np.bincount(place, n * (1 - bits), len(distinct)), np.bincount(place, n * bits, len(distinct)), None)
+    groups = Groups(keys)
+    return Level(groups.keys, groups.sums((n * (1 - bits)).astype(float)), groups.sums((n * bits).astype(float)), None)
 
 
 def grown(level: Level, top: int, depth: int) -> list[Level]:
@@ -292,23 +308,12 @@ def _scores(tokens: int, distinct: int, texts: int, id_col: str):
     scale = np.log10(tokens + distinct + 1.0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        parts: dict[int, tuple[list, list]] = {RUNS: ([], []), WORDS: ([], [])}
-        for kind, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
-            own = unpack_keys(keys)
-            parts[kind][0].append(own)
-            raw = unpacked(values, "u1")
-            parts[kind][1].append(unpacked(values, "f4" if len(raw) == 4 * len(own) else "f8"))
-        known = {}
-        for kind, (keys, values) in parts.items():
-            keys, values = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0), *values])
-            order = np.argsort(keys)
-            known[kind] = keys[order], values[order]
+        known = {kind: _looked_for(answers.filter(pc.equal(answers.column("kind"), kind))) for kind in (RUNS, WORDS)}
         out = []
         for whole in docs.select(["i", "h", "t"]).combine_chunks().to_batches():
-            for batch in sliced(whole, "t", 4 << 20):
+            for batch in sliced(whole, "t", SLICE):
                 runs, edges = byte_runs(batch.column("t"))
-                distinct_runs, place = np.unique(runs, return_inverse=True)
-                score = np.concatenate(([0.0], np.cumsum(_found(*known[RUNS], distinct_runs.astype(np.uint64))[place])))[edges]
+                score = np.concatenate(([0.0], np.cumsum(_found_runs(*known[RUNS], runs))))[edges]
                 codes, offsets, words = split_words(pc.ascii_lower(strings(batch.column("t"))))
                 counts = _found(*known[WORDS], word_hashes(words))
                 per = np.concatenate(([0.0], np.cumsum(np.log10(counts + 1)[codes])))[offsets] if len(codes) else np.zeros(len(offsets))
@@ -317,11 +322,27 @@ def _scores(tokens: int, distinct: int, texts: int, id_col: str):
                 base = np.diff(per) + np.log10(texts + 1) - n * scale
                 out.append(pa.table({id_col: batch.column("i"), "held_out": batch.column("h"), "n_tokens": pa.array(n), "n_known": pa.array(np.diff(seen) + (texts > 0)), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base), "score": pa.array(np.diff(score)), "bits_per_byte": pa.array(np.diff(score) / -np.log10(2) / np.diff(edges))}))
         kinds = {id_col: docs.schema.field("i").type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
+        del known
+        release()
         return pa.concat_tables(out) if out else pa.schema(list(kinds.items())).empty_table()
 
     return run
 
 
+def _looked_for(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a partition's requests, sorted, and their numbers: four bytes each where the answers have four."""
+    keys, values = [np.zeros(0, np.uint64)], []
+    for k, v in zip(answers.column("keys"), answers.column("values"), strict=True):
+        keys.append(unpack_keys(k.as_py()))
+        raw = v.as_py()
+        size = len(unpacked(raw, "u1")) // max(1, len(keys[-1]))
+        values.append(unpacked(raw, "f4" if size == 4 else "f8"))
+    flat, numbers = np.concatenate(keys), np.concatenate([np.zeros(0, np.float32), *values])
+    del keys, values
+    order = np.argsort(flat, kind="stable")
+    return flat[order], numbers[order]
+
+
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(wanted):
         return np.zeros(0)
@@ -332,6 +353,17 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return values[at].astype(np.float64)
 
 
+def _found_runs(keys: np.ndarray, values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """_found() of runs as they stand in texts, block by block: a run has 48 bits, so its place in a block sorts along with it."""
+    out = np.empty(len(runs))
+    for first in range(0, len(runs), 1 << 16):
+        block = runs[first : first + (1 << 16)].astype(np.uint64) << np.uint64(16)
+        block |= np.arange(len(block), dtype=np.uint64)
+        block.sort()
+        out[first + (block & np.uint64(0xFFFF)).astype(np.int64)] = _found(keys, values, block >> np.uint64(16))
+    return out
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
