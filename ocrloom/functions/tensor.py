@@ -83,7 +83,7 @@ def mean(a: Column) -> Column:
 
 def broadcasted(a: Column, b: Column, op: Callable[[Column, Column], Column]) -> Column:
     """op over two arrays; a shorter b is repeated over a, as trailing dimensions broadcast."""
-    return F.transform(a, lambda x, i: op(x, F.element_at(b, (i % F.size(b)) + 1)))
+    return let(b, lambda y: F.transform(a, lambda x, i: op(x, F.element_at(y, (i % F.size(y)) + 1))))
 
 
 def softmax(a: Column) -> Column:
@@ -98,7 +98,7 @@ def rows_of(a: Column, n: int, width: int) -> list[Column]:
 
 def by_row(a: Column, width: int, f: Callable[[Column], Column]) -> Column:
     """f over each row of width numbers."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(a) / width).cast("int") - 1), lambda k: f(F.slice(a, k * width + 1, F.lit(width)))))
+    return let(a, lambda x: F.flatten(F.transform(upto((F.size(x) / width).cast("int")), lambda k: f(F.slice(x, k * width + 1, F.lit(width))))))
 
 
 def bias_softmax(a: Column, bias: Column) -> Column:
@@ -256,7 +256,7 @@ def conv2d_layer(planes: Column, weights: Sequence[Sequence[Kernel]], bias: Sequ
 def conv_transpose_2x2(plane: Column, weights: Sequence[Sequence[float]], bias: float, h: int, w: int) -> Column:
     """Stride 2: out[2y + ky, 2x + kx] = in[y, x] * weights[ky][kx] + bias."""
     table = F.array(*[num(v) for row in weights for v in row])
-    return over_grid(2 * h, 2 * w, lambda y, x: at(plane, F.floor(y / 2), F.floor(x / 2), h, w) * F.get(table, ((y % 2) * 2 + x % 2).cast("int")) + num(bias))
+    return let(plane, lambda p: over_grid(2 * h, 2 * w, lambda y, x: at(p, F.floor(y / 2), F.floor(x / 2), h, w) * F.get(table, ((y % 2) * 2 + x % 2).cast("int")) + num(bias)))
 
 
 def pooled(plane: Column, h: int, w: int, kernel: tuple[int, int], stride: tuple[int, int], pads: tuple[int, int, int, int], how: str) -> Column:
@@ -264,17 +264,17 @@ def pooled(plane: Column, h: int, w: int, kernel: tuple[int, int], stride: tuple
     top, left, bottom, right = pads
     oh, ow = output_size(h, kernel[0], stride[0], top, bottom), output_size(w, kernel[1], stride[1], left, right)
 
-    def cell(y: Column, x: Column) -> Column:
-        cells = F.array(*[at(plane, y * stride[0] + ky - top, x * stride[1] + kx - left, h, w, F.lit(None).cast("double")) for ky in range(kernel[0]) for kx in range(kernel[1])])
+    def cell(p: Column, y: Column, x: Column) -> Column:
+        cells = F.array(*[at(p, y * stride[0] + ky - top, x * stride[1] + kx - left, h, w, F.lit(None).cast("double")) for ky in range(kernel[0]) for kx in range(kernel[1])])
         cells = F.filter(cells, lambda v: v.isNotNull() & ~F.isnan(v) if how == "max" else v.isNotNull())
-        return F.array_max(cells) if how == "max" else mean(cells)
+        return F.array_max(cells) if how == "max" else let(cells, mean)
 
-    return over_grid(oh, ow, cell)
+    return let(plane, lambda p: over_grid(oh, ow, lambda y, x: cell(p, y, x)))
 
 
 def resize_nearest(plane: Column, h: int, w: int, oh: int, ow: int) -> Column:
     """Source place: the destination's times the input's size, divided by the output's, rounded down."""
-    return over_grid(oh, ow, lambda y, x: at(plane, F.floor(y * h / oh), F.floor(x * w / ow), h, w))
+    return let(plane, lambda p: over_grid(oh, ow, lambda y, x: at(p, F.floor(y * h / oh), F.floor(x * w / ow), h, w)))
 
 
 def upsample_add(small: Column, large: Column, h: int, w: int, scale: int) -> Column:
