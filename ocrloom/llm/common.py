@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.joins import checkpoint_dir
 from ..operators.joins import cut_lineage as cut
 
-__all__ = ["WORD_PATTERN", "cut", "n_partitions", "new_path", "release", "sliced", "split_words", "strings", "table", "trimmed", "written"]
+__all__ = ["WORD_PATTERN", "cut", "kept", "n_partitions", "new_path", "release", "sliced", "split_words", "strings", "table", "trimmed", "written"]
 
 #: Any byte that is not white space: a word is a maximal run of these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -46,10 +46,22 @@ def release() -> None:
     ctypes.CDLL(None).malloc_trim(0)
 
 
-def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """run, for mapInArrow, with release() behind a task."""
+_kept: dict[str, object] = {}
+
+
+def kept[T](name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task under a name. A task of trimmed() that names something else, or nothing, drops it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trimmed(run: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
+    """run, for mapInArrow: at its beginning the worker drops what tasks of other operators kept, behind it release()."""
 
     def whole(batches: Batches) -> Batches:
+        for name in [x for x in _kept if x != keeps]:
+            del _kept[name]
         try:
             yield from run(batches)
         finally:
@@ -86,7 +98,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, offsets, words.dictionary
 
 
-def sliced(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the column at most, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0

@@ -31,6 +31,8 @@ BLOCK_WORDS = 1 << 19
 WORD_BITS = 21
 #: Places and words of windows that a task looks at at once, or those of one document.
 AT_ONCE = 1 << 19
+#: Bytes of text whose words are numbers at once.
+SLICE = 2 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's full score from which an alignment counts as a copy.
 THRESHOLD = 0.5
@@ -191,7 +193,7 @@ def _match(items: Items, threshold: float, id_col: str):
                 yield rest[0], rest[1], got, *rest[2:]
 
         for whole in batches:
-            for batch in sliced(whole, "t"):
+            for batch in sliced(whole, "t", SLICE):
                 doc, at, index, flat, offsets = items.places(batch)
                 order = np.argsort(doc, kind="stable")
                 doc, at, index = doc[order], at[order], index[order]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import looked_up
-from .common import cut, n_partitions, trimmed
+from .common import cut, n_partitions, sliced, trimmed
 from .components import components
 
 SEED = 42
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in sliced(whole, "t")):
             fps = pa.array([signed(fingerprint((x or "").encode().lower().split(), size)) for x in batch.column("t").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("row"), fps], names=[id_col, "row", "fp"])
 

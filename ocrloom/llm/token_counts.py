@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, strings, trimmed
+from .common import kept, sliced, strings, trimmed
 
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
@@ -156,15 +156,6 @@ def longest(counts: np.ndarray, limit: int) -> int:
     return int(np.flatnonzero(counts <= limit)[-1])
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
-def counter(model_file: str) -> PrefixCounter:
-    if model_file not in _counters:
-        _counters[model_file] = PrefixCounter(model_file)
-    return _counters[model_file]
-
-
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix within limit) and
     prefix_table, which holds the exact count at every prefix: with it any later question of truncation or budget is
@@ -175,11 +166,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     out, whatever their names. A text of any length is counted whole. No shuffle.
     """
 
-    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        own = counter(public_tokenizers.path(model))
+        own = kept(f"counter {model}", lambda: PrefixCounter(public_tokenizers.path(model)))
         for whole in batches:
             for batch in sliced(whole, "t", SLICE):
                 column = strings(batch.column("t"))
@@ -194,7 +184,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_table binary"
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(trimmed(run, f"counter {model}"), schema)
 
 
 def fitted(counts: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions, new_path, sliced, split_words, trimmed
+from .common import kept, n_partitions, new_path, sliced, split_words, trimmed
 
 WINDOW = 8
 #: Bits of the rolling hash that are zero at a cut: chunks of about 2**9 ids.
@@ -160,21 +160,16 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
 _STAGED = "kind string, route long, doc_id {id}, digest binary, n long, payload binary, lengths binary, root binary"
 #: Digests that a task remembers, so as not to send copies that lie near each other; the shuffle drops the others.
 MAX_SEEN = 100_000
 
 
 def _encode(name: str, end_id: int):
-    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        if name not in _encoders:
-            _encoders[name] = WordEncoder(name)
-        own, zstd = _encoders[name], zstandard.ZstdCompressor(level=1, write_content_size=True)
+        own, zstd = kept(f"encoder {name}", lambda: WordEncoder(name)), zstandard.ZstdCompressor(level=1, write_content_size=True)
         seen: set[bytes] = set()
         for whole in batches:
             for batch in sliced(whole, "t", SLICE):
@@ -200,7 +195,7 @@ def _encode(name: str, end_id: int):
                 if len(seen) > MAX_SEEN:
                     seen.clear()
 
-    return run
+    return trimmed(run, f"encoder {name}")
 
 
 def _rows(kind, route, ids, digests, n, payloads, lengths, roots, id_type) -> pa.RecordBatch:

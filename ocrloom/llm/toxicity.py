@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trimmed
+from .common import cut, sliced, trimmed
 
 #: Bounds of the fit: labelled documents of each kind, and windows of ordinary ones for their dictionary.
 MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2_000, 9_000, 50_000
@@ -253,7 +253,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in sliced(whole, "t")):
             scores = [model.score(x or "") for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array(scores, pa.float64())], names=[id_col, "held_out", "score"])
 
@@ -268,7 +268,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in sliced(whole, text_col)):
             yield batch.filter(pa.array([model.score(x or "") < 0.5 for x in batch.column(place).to_pylist()], pa.bool_()))
 
     place = docs.columns.index(text_col)
