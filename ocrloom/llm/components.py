@@ -15,6 +15,6 @@ def components(links: DataFrame) -> DataFrame:
     A node of any number of links, and a label of any number of nodes, is no task's own: connected() looks up hot keys by
     broadcasts of a bounded number of rows. An empty table of links gives no rows.
     """
-    both = cut(links.select(F.lit(0).alias("g"), "a", "b"))
-    nodes = both.select("g", F.col("a").alias("id")).unionByName(both.select("g", F.col("b").alias("id"))).distinct()
-    return connected(nodes, both).select("id", "label")
+    both = cut(links.select("a", "b"))
+    nodes = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
+    return connected(nodes, both, ()).select("id", "label")
